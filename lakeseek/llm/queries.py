@@ -36,7 +36,50 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col(P + "id").alias("doc_id"), F.lower(F.lpad(F.hex(P + "fp"), 16, "0")).alias("fingerprint"), F.col(P + "component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op6_line_dedup, op7_simhash)}
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: one row per document and pass that takes it."""
+    from lakeseek.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+
+
+def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeseek.llm.merkle import document_fingerprints
+
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeseek.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeseek.llm.class_lm import class_lm
+
+    return class_lm(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeseek.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeseek.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"), "page_id", "html", "url")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_temperature_mixing, op3_decontamination, op4_merkle_fingerprint, op5_toxicity, op6_line_dedup, op7_simhash, op8_class_lm, op9_language_id,
+        op10_html_extraction,
+    )
+}
 
 ORACLE_SQL = {
     "op1_substring_dedup": r"""
