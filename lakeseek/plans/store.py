@@ -46,9 +46,14 @@ class _Files:
         return [s.getPath().getName() for s in self.fs().listStatus(self.path())] if self.exists() else []
 
     def read(self, name: str) -> str:
+        """Raises ValueError if the file can't be read."""
+        from py4j.protocol import Py4JJavaError
+
         stream = self.fs().open(self.path(name))
         try:
             return bytes(self.jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+        except Py4JJavaError as error:
+            raise ValueError(f"{name} can't be read: {error.java_exception.getMessage()}") from error
         finally:
             stream.close()
 

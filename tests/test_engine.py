@@ -107,7 +107,7 @@ def windows_of(text, length=62, overlap=20, header=False, name="windows", path="
     t = chunking.WordTokenizer()
     lines = chunking.lines_of(text)
     if name == "ast":
-        return chunking.syntax_ranges(path, text, lines, t, length, header)
+        return chunking.syntax_ranges(path, text, lines, t, length, header, overlap)
     return chunking.window_ranges(path, lines, t, length, overlap, header)
 
 
@@ -135,7 +135,7 @@ def test_syntax_chunks():
     ranges = windows_of(text, 202, name="ast")
     lines = chunking.lines_of(text)
     starts = [lines[a].strip() for a, _ in ranges]
-    assert "@deco" in starts and sum(s == "@deco" for s in starts) >= 5
+    assert "@deco" in starts and sum(s == "@deco" for s in starts) >= 3
     assert windows_of(text, 202, 128, path="a.md", name="ast") == windows_of(text, 202, 128)
     assert windows_of("def (:\n", 202, 128, name="ast") == [(0, 1)]
 
