@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeseek.functions import fixed
-from lakeseek.functions.vectors import encode
+from lakeseek.functions.vectors import dot, encode
 from lakeseek.operators import ranking, scoring, snippets
 from lakeseek.operators import versions as ver
 
@@ -37,8 +37,9 @@ def search(
         totals = scoring.document_scores(scores, aggregate)
     value = scoring.rank_score(F.col("score"), F.col("kind"), kind_penalty)
     best = ranking.top_k(totals.join(docs, "doc_id").withColumn("rank_score", value), top_k, "rank_score")
-    wanted = chunks.join(F.broadcast(best.select("doc_id").distinct()) if top_k <= 1000 and not blocks else best.select("doc_id").distinct(), "doc_id", "left_semi")
-    pairs = scoring.score(queries, wanted, "start_line", "end_line").join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    # only the ranked pairs are scored again, an equi-join
+    asked = best.select("query_id", "doc_id").join(queries.select("query_id", F.col("embedding").alias("q_embedding")), "query_id")
+    pairs = chunks.join(asked, "doc_id").select("query_id", "doc_id", "chunk_id", "ordinal", "start_line", "end_line", dot(F.col("q_embedding"), F.col("embedding")).alias("score"))
     item = F.struct("chunk_rank", "chunk_id", "start_line", "end_line", "score")
     hits = ranking.best_chunks(pairs, chunks_per_doc).groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(item)).alias("hits"))
     return best.join(hits, ["query_id", "doc_id"]).select("query_id", "rank", "doc_id", "score", "rank_score", "kind", "source_path", "language", "hits")
