@@ -34,7 +34,27 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakeseek-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(out)] = (out, path)
+    return out
+
+
+#: Tables written by this session, by the DataFrame that reads each.
+_TABLES: dict[int, tuple[DataFrame, str]] = {}
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing reads any more."""
+    _, path = _TABLES.pop(id(df))
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_tables() -> None:
+    """Delete all tables of this session's ``materialise`` calls; results that still read them must have been written."""
+    for df, _ in list(_TABLES.values()):
+        drop_table(df)
 
 
 def size_bytes(df: DataFrame, column: str) -> int:
