@@ -338,3 +338,27 @@ def test_versions(spark, tmp_path):
     with pytest.raises(ValueError):
         s.query("x", 1, version="zz")
     assert repository.commit_info(repo, "v2")[4] == ["v2"]
+
+
+def test_evaluate_index(spark):
+    """With vectors that know the answer every metric is 1; the metric settles ties at the cut."""
+    eye = np.eye(6)
+    chunks = spark.createDataFrame([(f"d{i}", f"d{i}", 0, eye[i].tolist()) for i in range(6)], "doc_id string, chunk_id string, ordinal int, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{i}", eye[i].tolist()) for i in range(4)], "query_id string, embedding array<double>")
+    qrels = spark.createDataFrame([(f"q{i}", f"d{i}", 1) for i in range(4)], "query_id string, doc_id string, relevance int")
+    means, each = find.evaluate_index(queries, qrels, {"chunks": chunks}, 10, 2)
+    row = means.first()
+    assert (row.ndcg, row.mrr, row.recall, row.hit, row.queries) == (1, 1, 1, 1, 4) and each.count() == 4
+
+
+def test_search_ways_agree(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 8))
+    kinds = ["code", "test", "docs"]
+    chunks = spark.createDataFrame([(f"d{i % 12}", f"c{i}", i, 1, 2, v[i].tolist()) for i in range(60)], "doc_id string, chunk_id string, ordinal int, start_line int, end_line int, embedding array<double>")
+    docs = spark.createDataFrame([(f"d{i}", kinds[i % 3], f"d{i}", None) for i in range(12)], "doc_id string, kind string, source_path string, language string")
+    queries = spark.createDataFrame([(f"q{i}", v[i].tolist()) for i in range(5)], "query_id string, embedding array<double>")
+    plain = lambda **o: [(r.query_id, r["rank"], r.doc_id, round(r.score, 9), [h.chunk_id for h in r.hits]) for r in find.search(queries, {"documents": docs, "chunks": chunks}, 4, **o).orderBy("query_id", "rank").collect()]
+    for options in ({}, {"aggregate": "mean"}, {"kind_penalty": 0.5}, {"code_only": True}):
+        assert plain(**options) == plain(blocks=True, **options)
+    assert {r[2] for r in plain(code_only=True)} <= {"d0", "d3", "d6", "d9"}
