@@ -185,9 +185,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return language_columns(rows, model, P + "t").select(id_col, "held_out", F.col(P + "lang_pred").alias("lang_pred"), F.col(P + "score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5, most_excess: float = 1.75, fold: int = 5) -> DataFrame:
-    """``docs`` without rows of no language: ``und``, an even score, or a code much longer than the language's own texts have."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5, most_excess: float = 3.0, least_bytes: int = 50, fold: int = 5) -> DataFrame:
+    """``docs`` without rows of no language: ``und``, and of texts of ``least_bytes`` or more those of an even score or a code much longer than the language's own texts have.
+
+    Shorter texts say too little for either test and stay.
+    """
     model = learn(docs, F.coalesce(crc_mod(id_col, fold) != 0, F.lit(False)), id_col, text_col, lang_col)
     seen = language_columns(docs, model, text_col)
-    ok = (F.col(P + "lang_pred") != "und") & (F.col(P + "score") >= least_score) & (F.col(P + "excess") <= most_excess)
+    sure = (F.col(P + "score") >= least_score) & (F.col(P + "excess") <= most_excess)
+    ok = (F.col(P + "lang_pred") != "und") & (sure | (F.octet_length(text_col) < least_bytes))
     return seen.filter(ok).select(*[F.col(f"`{c}`") for c in docs.columns])
