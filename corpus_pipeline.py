@@ -14,7 +14,7 @@ from lakeseek.llm.simhash import simhash_components
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no identified language go: null texts, texts without letters, even scores, codes far longer than the language's."""
+    """Documents of no identified language go: null texts, texts without letters, and of longer texts even scores and codes far longer than the language's."""
     return keep_identified(docs)
 
 
