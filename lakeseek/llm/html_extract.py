@@ -36,7 +36,8 @@ BOILER_WORDS = frozenset(
     """ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu masthead
     header footer sidebar aside breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe
     subscription signup social share sharing related recommended recommendations comment comments disqus reply replies respond
-    widget toolbar pagination pager copyright legal disclaimer login search""".split()
+    widget toolbar pagination pager copyright legal disclaimer login search side sidenav topnav topbar navlinks navmenu adbox adslot adunit
+    cookiebar cookiebanner notification notifications toc commentlist trending popular""".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT_TAGS = frozenset("article main".split())
