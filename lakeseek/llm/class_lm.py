@@ -73,6 +73,27 @@ def count_words(train: DataFrame, flush: int = 1_500_000) -> DataFrame:
     return parts.groupBy("h", "e").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counted: DataFrame, distinct: int, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and endings of the most frequent words, ``head`` at most, the most frequent first.
+
+    The least count that leaves few enough words comes from a histogram over steps of a sixteenth of a doubling, so only the words
+    themselves are brought together, not each task's candidates.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    if distinct > head:
+        over, least = 0, None
+        for r in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred rows
+            over += r[1]
+            if over > head:
+                break
+            least = r[0]
+        counted = counted.filter(step >= least) if least is not None else counted.limit(0)
+    rows = counted.select("h", "n", "e").toArrow()
+    h, n, e = (np.asarray(rows[c]) for c in ("h", "n", "e"))
+    order = np.lexsort((h, -n))
+    return h[order].view(np.uint64), n[order], e[order]
+
+
 def exchange(counts: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     """The class of each type, by exchange on the bigram counts of types. Class 0 is the end's alone; ties go to the lower class."""
     k = len(counts)
@@ -187,8 +208,7 @@ def class_lm(
     sums = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # the end is one more known token, once a text
     distinct, total = sums[0] + (n_texts > 0), sums[1] + n_texts
-    frequent = counted.orderBy(F.desc("n"), "h").limit(head).toArrow()
-    hashes, amounts, tails = np.asarray(frequent["h"]).view(np.uint64), np.asarray(frequent["n"]), np.asarray(frequent["e"])
+    hashes, amounts, tails = _frequent(counted, sums[0], head)
     common = counted.groupBy("e").agg(F.sum("n").alias("n"), F.count("*").alias("words")).orderBy(F.desc("n"), "e").limit(ending_types).toArrow()
     endings = np.asarray(common["e"])
     types = _Types(hashes[:word_types], endings)

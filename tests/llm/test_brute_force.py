@@ -196,6 +196,14 @@ def test_class_lm_base_and_score(spark, docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_class_lm_small_head(spark, docs):
+    """With few words known to the scoring pass, the others come by the join: the same base scores."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    want = rows(spark, "op8_class_lm")
+    for r in class_lm.class_lm(df, head=60, word_types=20, ending_types=10, classes=8).collect():
+        assert r.base_score == pytest.approx(want[r.doc_id].base_score) and r.n_known == want[r.doc_id].n_known
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(2)
     hidden = rng.integers(1, 4, 30)
