@@ -43,10 +43,13 @@ def _grams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn_counts(docs: DataFrame, lang: Column, learnable: Column, id_col: str, text_col: str, docs_per_language: int, max_languages: int) -> list:
     """Rows (lang, gram, n) of the learning documents."""
     usable = docs.filter(learnable & lang.isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias(P + "id"), lang.cast("string").alias(P + "l"))
-    order = Window.partitionBy(P + "l").orderBy(F.xxhash64(P + "id"), P + "id")
-    top = usable.groupBy(P + "l").count().orderBy(F.desc("count"), P + "l").limit(max_languages).select(P + "l")
-    chosen = usable.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= docs_per_language).drop("k")
-    chosen = chosen.join(F.broadcast(top), P + "l").distinct()  # bounded: docs_per_language * max_languages ids
+    top = usable.groupBy(P + "l").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), P + "l").limit(max_languages)
+    # of the many rows of a language only about twice as many as wanted, by their hash, need to meet in one task
+    share = F.lit(2.0 * docs_per_language + 100) / F.col("rows")
+    small = F.shiftrightunsigned(F.xxhash64(P + "id"), 1) <= F.when(share >= 1, F.lit(float(1 << 63))).otherwise(share * F.lit(float(1 << 63)))
+    usable = usable.join(F.broadcast(top), P + "l").filter(small).drop("rows")
+    order = Window.partitionBy(P + "l").orderBy(F.shiftrightunsigned(F.xxhash64(P + "id"), 1), P + "id")
+    chosen = usable.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= docs_per_language).drop("k").distinct()  # bounded: docs_per_language * max_languages ids
     texts = docs.filter(learnable & lang.isNotNull()).select(F.col(id_col).alias(P + "id2"), lang.cast("string").alias(P + "l2"), F.col(text_col).alias(P + "t"))
     texts = texts.join(F.broadcast(chosen), F.col(P + "id2").eqNullSafe(F.col(P + "id")) & (F.col(P + "l2") == F.col(P + "l"))).select(P + "l", P + "t")
 
