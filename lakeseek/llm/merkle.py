@@ -3,8 +3,8 @@
 A paragraph is a line. A section ends at a blank paragraph, or after one whose digest falls in one of eight classes, so that an edit
 moves no borders far from it. A paragraph's digest is the SHA-256 of its bytes, a section's that of its paragraphs' digests, the
 root's that of its sections'. So equal roots mean equal texts, and going down where branches differ finds the edited paragraphs.
-Below the paragraphs stand leaves of 24 bits over content-defined runs of about seven words; they tell how much of a differing
-paragraph stayed.
+Below the paragraphs stand leaves of 24 bits over content-defined runs of about seven words of a paragraph; they tell how much of a
+differing paragraph stayed, and depend on nothing outside it.
 
 fingerprint = root (64 hex digits) "." sections, each its paragraphs (8 hex digits each), "," between sections "." leaves (four
 base64 characters each). ``likeness`` works on two such strings: 1 for equal roots, else the Dice coefficient of the leaves, taken
@@ -36,13 +36,17 @@ def leaves(texts) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
     h = mix(words ^ np.uint64(0x5851F42D4C957F2D))
-    around = np.pad(h, 3, constant_values=np.iinfo(np.uint64).max)
-    least = np.min([around[k : k + n] for k in range(7)], axis=0)
-    ends_run = h == least  # a run of words ends at a local minimum
-    ends_run[offs[1:][np.diff(offs) > 0] - 1] = True
-    # and at the end of a paragraph, so that equal paragraphs have equal leaves
+    # a paragraph's words are cut by its own words alone, so that equal paragraphs and texts have equal leaves
     newline = np.concatenate([[0], np.cumsum(raw == 10)])
-    ends_run[:-1] |= newline[starts[1:]] > newline[ends[:-1]]
+    own = newline[starts] + np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    least, most = h.copy(), np.iinfo(np.uint64).max
+    for k in range(1, 4):
+        same = own[k:] == own[:-k]
+        least[k:] = np.minimum(least[k:], np.where(same, h[:-k], most))
+        least[:-k] = np.minimum(least[:-k], np.where(same, h[k:], most))
+    ends_run = h == least  # a run of words ends at a local minimum
+    ends_run[-1] = True
+    ends_run[:-1] |= own[1:] != own[:-1]  # and at the end of a paragraph
     hi = np.flatnonzero(ends_run) + 1
     lo = np.concatenate([[0], hi[:-1]])
     leaf = (window_hashes(words, lo, hi, 9, word_sums(words)) >> np.uint64(40)).astype(np.uint32)
