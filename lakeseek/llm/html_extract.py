@@ -4,7 +4,8 @@ A page is read once into text blocks, each with the path of tags from the root a
 length, the punctuation and the number of blocks are added up; a path's ratio is text per block, weighted by punctuation. The ratios
 are smoothed over neighbouring blocks in page order and fused with the path's own; paths above a threshold, a share of their mean
 weighted by text, select content blocks. Elements that by name, role, class or id are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments give no blocks. The content is what lies in the deepest element around nearly all selected text;
+adverts, forms, scripts, styles or comments give no blocks; a name in class or id does not count after "with", "no", "has" and the
+like, nor on an element around most of the text selected without regard to such names. The content is what lies in the deepest element around nearly all selected text;
 inside an article or main element short blocks (headings, list items) stay with it.
 
 Block text: character references decoded, white space runs one space, trimmed; blocks in page order joined by a newline. A <br> is
@@ -26,7 +27,7 @@ from lakeseek.llm.common import P
 
 # Element names of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title iframe svg math object canvas audio video select"
+RAW = "script style noscript template textarea title iframe svg object canvas audio video select"
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -41,8 +42,14 @@ BOILER_WORDS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT_TAGS = frozenset("article main".split())
+#: Words before a boilerplate word that say the element stands beside such a one, or has none.
+BESIDE_WORDS = frozenset("with without no not has have hide hides hidden".split())
+#: Lists of readers' comments may be longer than the article.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 
 _TOKEN = re.compile(
+    # a self-closed svg ends at its own tag
+    r"""<svg(?:\s++(?:[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+|\s++|/(?!>))*+)?+/>|"""
     rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW.replace(" ", "|")})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""",
     re.S | re.I,
@@ -52,9 +59,10 @@ _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def _attributes(attrs: str) -> tuple[bool, bool]:
-    """Whether the attributes mark boilerplate, and whether they mark the main content."""
+def _attributes(attrs: str) -> tuple[bool, bool, set[str]]:
+    """Whether the attributes mark boilerplate, whether they mark the main content, and the boilerplate words of class and id."""
     boiler = content = False
+    names: set[str] = set()
     for name, *values in _ATTR.findall(attrs):
         value = next((v for v in values if v), "")
         name = name.lower()
@@ -67,13 +75,19 @@ def _attributes(attrs: str) -> tuple[bool, bool]:
             content |= value == "articleBody"
             boiler |= value == "comment"
         elif name in ("class", "id"):
-            boiler |= any(w.lower() in BOILER_WORDS for w in _CAMEL.findall(value))
-    return boiler, content
+            for one in value.split():
+                words = [w.lower() for w in _CAMEL.findall(one)]
+                names.update(w for before, w in zip(["", *words], words) if w in BOILER_WORDS and before not in BESIDE_WORDS)
+    return boiler, content, names
 
 
-def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], int]]:
-    """(text, tag path, ids of the elements around, id of the content element around or 0), boilerplate left out."""
+def blocks(page: str, spared: set[int] | None = None) -> tuple[list[tuple[str, str, tuple[int, ...], int]], dict[int, set[str]]]:
+    """(text, tag path, ids of the elements around, id of the content element around or 0), boilerplate left out, and the elements named as boilerplate.
+
+    Elements whose class or id names boilerplate are left out unless ``spared``; None spares all of them.
+    """
     out: list = []
+    named: dict[int, set[str]] = {}
     # tag, element's id, boilerplate, content element, tags from the root
     stack: list[tuple[str, int, bool, int, str]] = [("", 0, False, 0, "")]
     pending: list[str] = []
@@ -143,8 +157,11 @@ def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], int]]:
         if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK:
             continue
         n += 1
-        boiler, content = _attributes(m["attrs"]) if m["attrs"] else (False, False)
+        boiler, content, names = _attributes(m["attrs"]) if m["attrs"] else (False, False, set())
         _, _, above, inside, path = stack[-1]
+        if names:
+            named[n] = names
+            boiler |= spared is not None and n not in spared
         if tag in ("html", "body"):
             boiler = False
         elif tag == "header" and inside and not boiler:
@@ -158,13 +175,11 @@ def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], int]]:
     if at < len(page) and not stack[-1][2]:
         pending.append(page[at:])
     flush()
-    return out
+    return out, named
 
 
-def extract(page: str, share: float = 0.35, covering: float = 0.9) -> str:
-    found = blocks(page)
-    if not found:
-        return ""
+def _selected(found: list, share: float) -> set[str]:
+    """The tag paths above the threshold."""
     length, punctuation, count = {}, {}, {}
     for text, path, _, _ in found:
         length[path] = length.get(path, 0) + len(text)
@@ -180,7 +195,38 @@ def extract(page: str, share: float = 0.35, covering: float = 0.9) -> str:
     fused = {p: (fused[p] * ratio[p]) ** 0.5 for p in fused}
     total = sum(length.values())
     limit = share * sum(fused[p] * length[p] for p in fused) / total
-    selected = {p for p in fused if fused[p] >= limit}
+    return {p for p in fused if fused[p] >= limit}
+
+
+def _wrappers(found: list, named: dict[int, set[str]], share: float) -> set[int]:
+    """Of the elements ``named`` as boilerplate those around most of the text selected without regard to names: they hold the content.
+
+    Where a content element stands outside it, or if it is named after comments, it must also hold a main heading.
+    """
+    selected = _selected(found, share)
+    weight: dict[int, int] = {}
+    content: dict[int, int] = {}
+    headed: set[int] = set()
+    for text, path, elements, inside in found:
+        for e in elements if inside else ():
+            content[e] = content.get(e, 0) + 1
+        if path in selected:
+            for e in elements:
+                weight[e] = weight.get(e, 0) + len(text)
+        if path.endswith("/h1"):
+            headed.update(elements)
+    most = weight.get(0, 0) / 2
+    alone = {e for e in named if content.get(e, 0) == content.get(0, 0)}
+    return {e for e, words in named.items() if weight.get(e, 0) > most and (e in headed or e in alone and not words & COMMENT_WORDS)}
+
+
+def extract(page: str, share: float = 0.35, covering: float = 0.9) -> str:
+    found, named = blocks(page)
+    if found and named:
+        found, _ = blocks(page, _wrappers(found, named, share))
+    if not found:
+        return ""
+    selected = _selected(found, share)
 
     def around(candidates: list[int]) -> int:
         """The deepest element that holds ``covering`` of the selected text."""

@@ -3,6 +3,7 @@
 import pyarrow as pa
 
 from lakeseek.llm import merkle
+from lakeseek.llm.html_extract import extract
 
 
 def test_merkle_copies_among_different_neighbours():
@@ -19,3 +20,26 @@ def test_merkle_copies_among_different_neighbours():
     for c in copies:
         own = [merkle.leaves(pa.array([p], pa.large_string()))[0].tolist() for p in c.split("\n")]
         assert merkle.leaves(pa.array([c], pa.large_string()))[0].tolist() == own[0] + own[1]
+
+
+PARTS = ["A heading of the page", *[f"Sentence number {i} of the article, long enough to be text, has commas, and an end." for i in range(6)]]
+ARTICLE = f"<h1>{PARTS[0]}</h1>" + "".join(f"<p>{p}</p>" for p in PARTS[1:])
+TEXT = "\n".join(PARTS)
+
+
+def test_html_self_closed_svg_and_math():
+    for icon in ('<svg class="a>b" viewBox="0 0 1 1"/>', "<svg/>", "<svg hidden />", "<math/>", '<math display="block"/>', "<svg a='1'><title>no</title><path d='M0'/></svg>"):
+        assert extract(f"<body><article>{icon}{ARTICLE}</article><svg><text>no</text></svg></body>") == TEXT, icon
+    assert extract("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == "So x=2 holds."
+
+
+def test_html_wrappers_named_after_what_stands_beside():
+    side = '<div class="sidebar"><p>Other things to read, and more, and more of them.</p></div>'
+    comments = '<div id="comments">' + "".join(f"<p>I, for one, think that remark {i} is right, and well put, too.</p>" for i in range(40)) + "</div>"
+    for name in ("content with-sidebar", "no-sidebar", "has-comments", "content sidebar-left", "page comments-open", "withSidebar"):
+        for inner in (ARTICLE, f"<article>{ARTICLE}</article>"):
+            assert extract(f"<body><nav>menu</nav><div class='{name}'>{inner}{side}</div></body>") == TEXT, name
+    assert extract(f"<body><div class='entry'>{ARTICLE}</div>{side}{comments}</body>") == TEXT
+    assert extract(f"<body><div class='entry has-comments'>{ARTICLE}{comments}</div>{side}</body>") == TEXT
+    assert extract(f"<body><div class='ad'>{'Buy this, and that. ' * 9}</div><article><h1>Short</h1></article></body>") == "Short"
+    assert extract("<div class='footer'><nav>a</nav></div>") == ""
