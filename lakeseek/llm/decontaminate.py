@@ -5,7 +5,10 @@ A text is contaminated by an item if one of its windows of the item's number of
 
 1. Every text's shingles (A-Z lower-cased words, five each) are matched with the items' shingles. Two windows of equal size m reach
    similarity s only if they share 2s/(1+s) m shingles, so a (text, item) pair with fewer matched positions goes; nothing else does.
-2. Item-sized windows are laid where a matched shingle of the text falls on its place in the item; each gets a 64-bit SimHash.
+2. Item-sized windows that hold enough matched positions are laid, whatever the order of the shingles; each gets a 64-bit SimHash. Of
+   these only such as some window at least as similar does not stand beside are needed: a window that starts on no matched shingle
+   yields to the next one, and one whose last shingle is not matched, to the one before. Windows where a matched shingle of the text
+   falls on its place in the item are laid too, and come first among the equally similar ones; then the smallest start.
 3. Multi-index blocks: ``radius`` + 1 blocks of bits, joined with the item's blocks; a window within the radius must share one. The
    Hamming distance is verified. At a similarity of 0.8 about 10 of 64 bits differ; a radius of 23 leaves out about one in 10**5.
 4. The exact weighted similarity decides.
@@ -109,9 +112,23 @@ def contaminated(
     # a text shorter than the item may have fewer shingles than it: then Jaccard asks for threshold times the item's
     need = F.ceil(F.when(F.col("n_doc") < F.col("n"), F.lit(threshold) * F.col("m")).otherwise(F.lit(share) * F.col("m")) - F.lit(1e-9))
     enough = placed.groupBy(*key, "item", "m", "n", "n_doc").agg(F.count_distinct("p").alias("hits")).filter(F.col("hits") >= need).drop("hits")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("j"), F.col("n_doc") - F.col("n")))
     same = [placed[c].eqNullSafe(enough[c]) for c in (*key, "item")]
-    starts = placed.join(enough.select(*key, "item"), same, "left_semi").select(*key, "item", "n", "m", start.alias("start")).distinct()
+    kept = materialise(placed.join(enough.select(*key, "item"), same, "left_semi"), "item-places")
+    pair = [*key, "item", "n", "m"]
+    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("j"), F.col("n_doc") - F.col("n")))
+    aligned = kept.select(*pair, start.cast("int").alias("start"), F.lit(1).alias("aligned"))
+    # matched positions of each pair in order; a window holds enough if the need-th one from its start is inside
+    run = kept.groupBy(*pair, "n_doc").agg(F.sort_array(F.collect_set("p")).alias("at")).filter("n_doc >= n").withColumn("need", need.cast("int")).withColumn("last", (F.col("n_doc") - F.col("n")).cast("int"))
+
+    def laid(p: Column, i: Column) -> Column:
+        end = p + F.col("m") - F.lit(1)
+        reaches = F.coalesce(F.get("at", i + F.col("need") - F.lit(1)) <= end, F.lit(False))
+        before = F.coalesce(F.get("at", i - F.lit(1)) == p - F.lit(1), F.lit(False))
+        return (p < F.col("last")) & reaches & (~before | F.array_contains("at", end))
+
+    at_end = F.when(F.get("at", F.size("at") - F.col("need")) >= F.col("last"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    free = run.select(*pair, F.explode(F.concat(F.filter("at", laid), at_end)).alias("start"), F.lit(0).alias("aligned"))
+    starts = aligned.unionByName(free).groupBy(*pair, "start").agg(F.max("aligned").alias("aligned"))
     starts = materialise(starts, "item-windows")
 
     chosen = materialise(starts.select(*key).distinct(), "hit-texts")
@@ -122,8 +139,8 @@ def contaminated(
     wins = starts.withColumnsRenamed({P + "id": "cid", P + "t": "ct"}).withColumn("wk", F.least("n", F.lit(shingle)))
     inside = (F.col("p") >= F.col("start")) & (F.col("p") < F.col("start") + F.col("m"))
     held = pieces.join(wins, pieces[P + "id"].eqNullSafe(wins.cid) & (pieces[P + "t"] == wins.ct) & (wins.wk == pieces.k) & inside)
-    held = materialise(held.select(*key, "item", "start", "n", "m", "h"), "window-shingles")
-    win = [*key, "item", "start", "n", "m"]
+    held = materialise(held.select(*key, "item", "start", "aligned", "n", "m", "h"), "window-shingles")
+    win = [*key, "item", "start", "aligned", "n", "m"]
     prints = held.groupBy(*win).agg(F.count("*").alias("mw"), *_simhash_sums(F.col("h"))).select(*win, "mw", _simhash(F.col("mw")).alias("fp"))
     item_prints = parts.groupBy("item").agg(F.count("*").alias("mi"), *_simhash_sums(F.col("h"))).select("item", _simhash(F.col("mi")).alias("item_fp"))
     blocks = radius + 1
@@ -139,7 +156,7 @@ def contaminated(
     on = [near[c].eqNullSafe(common[c]) for c in win]
     similarity = F.col("common") / (F.col("mw") + near["m"] - F.col("common"))
     judged = near.join(common, on).select(*[near[c] for c in win], similarity.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
-    best = judged.groupBy(*key, "item", "n").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    best = judged.groupBy(*key, "item", "n").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(*key, F.col("item").alias(item_col), (-F.col("best.back")).cast("long").alias("start_word"), F.col("n").cast("long").alias("n_item_words"), F.col("best.similarity").alias("similarity"))
 
 

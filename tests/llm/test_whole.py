@@ -1,8 +1,12 @@
 """Cases where an operator once did less than the whole job."""
 
+from collections import Counter
+
+import numpy as np
 import pyarrow as pa
 
 from lakeseek.llm import merkle
+from lakeseek.llm.decontaminate import contaminated
 from lakeseek.llm.html_extract import extract
 
 
@@ -43,3 +47,35 @@ def test_html_wrappers_named_after_what_stands_beside():
     assert extract(f"<body><div class='entry has-comments'>{ARTICLE}{comments}</div>{side}</body>") == TEXT
     assert extract(f"<body><div class='ad'>{'Buy this, and that. ' * 9}</div><article><h1>Short</h1></article></body>") == "Short"
     assert extract("<div class='footer'><nav>a</nav></div>") == ""
+
+
+def test_decontamination_judges_every_window(spark):
+    """Against all windows of all texts: items with parts swapped, shuffled, cut and repeated inside other words."""
+    rng = np.random.default_rng(11)
+    items = [[f"i{k}w{j % (9 if k == 5 else 1000)}" for j in range(n)] for k, n in enumerate((100, 100, 60, 40, 30, 50, 4))]
+    texts = []
+    for t in range(70):
+        words = items[t % 7]
+        cuts = sorted(rng.choice(np.arange(1, len(words)), min(len(words) - 1, int(rng.integers(1, 4))), replace=False))
+        parts = [words[a:b] for a, b in zip([0, *cuts], [*cuts, len(words)])]
+        order = rng.permutation(len(parts)) if t % 3 else range(len(parts))
+        body = [w for i in order for w in (*parts[i], *[f"x{t}"] * int(rng.integers(0, 2)))]
+        texts.append([f"a{t}_{i}" for i in range(int(rng.integers(0, 80)))] + body + [f"b{t}_{i}" for i in range(int(rng.integers(0, 80)))])
+    swapped = [f"c{i}" for i in range(60)] + items[0][50:] + items[0][:50] + [f"d{i}" for i in range(60)]
+    texts.append(swapped)
+
+    def bag(w, k):
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    want = {}
+    for t, w in enumerate(texts):
+        for i, item in enumerate(items):
+            k, n = min(5, len(item)), len(item)
+            b = bag(item, k)
+            best = max((sum((a & b).values()) / sum((a | b).values()) for a in (bag(w[s : s + n], k) for s in range(max(1, len(w) - n + 1))) if a), default=0)
+            if best >= 0.8 - 1e-9:
+                want[t, i] = round(best, 6)
+    docs = spark.createDataFrame([(t, " ".join(w)) for t, w in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    found = {(r[0], r.item_id): round(r.similarity, 6) for r in contaminated(docs, bench).collect()}
+    assert found == want and (len(texts) - 1, 0) in found
