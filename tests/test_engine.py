@@ -140,6 +140,42 @@ def test_syntax_chunks():
     assert windows_of("def (:\n", 202, 128, name="ast") == [(0, 1)]
 
 
+def function(name, steps, indent="", above=""):
+    """A function of about ten tokens a step and two blank lines after it."""
+    body = "".join(f"{indent}    x = x * {i} + {i + 1}  # step {i} of {name}\n" for i in range(steps))
+    return f"{above}{indent}def {name}(x):\n{body}{indent}    return x\n\n\n"
+
+
+def pieces(text, length=1024, **options):
+    lines = chunking.lines_of(text)
+    return ["".join(lines[a:b]) for a, b in windows_of(text, length, 128, name="ast", **options)]
+
+
+def test_units_run_to_the_next_one():
+    """Blank lines belong to the definition before them: no chunk is blank, and chunks put together are the text."""
+    size = lambda s: len(chunking.WordTokenizer().offsets(s))
+    text = '"""About."""\nimport os\n\n\n' + "".join(function(f"f{i}", 3) for i in range(30))
+    got = pieces(text)
+    assert "".join(got) == text and 1 < len(got) < 30
+    assert all(p.startswith("def ") for p in got[1:]) and all(200 <= size(p) <= 500 for p in got[:-1])
+    two = function("a", 15) + function("b", 29)
+    assert pieces(two) == [function("a", 15), function("b", 29)]
+    assert all(p.strip() for n in range(2, 80, 7) for p in pieces(function("a", n) + function("b", 80 - n)))
+
+
+def test_methods_keep_comments_and_decorators():
+    methods = "".join(function(f"m{i}", 11, "    ", f"    # about m{i}\n    @staticmethod\n") for i in range(12))
+    got = pieces("import os\n\n\nclass Big:\n    'Doc.'\n    LIMIT = 3\n\n" + methods)
+    assert len(got) > 2 and all(p.startswith("    # about m") for p in got[1:])
+    assert got[0].startswith("import os\n") and "LIMIT = 3" in got[0] and "".join(got).endswith(methods)
+
+
+def test_long_function_overlaps():
+    text = "import os\n\n\n" + function("huge", 300)
+    ranges = windows_of(text, 1024, 128, name="ast")
+    assert len(ranges) > 3 and any(c < b for (_, b), (c, _) in zip(ranges, ranges[1:]))
+
+
 def test_headers(spark):
     text = "class A:\n    def b(self):\n        pass\n\ndef c():\n    pass\n"
     assert chunking.definitions(text) == [(1, 3, "A"), (2, 3, "A.b"), (5, 6, "c")]
