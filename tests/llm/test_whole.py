@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from lakeseek.llm import merkle
 from lakeseek.llm.decontaminate import contaminated
-from lakeseek.llm.html_extract import extract
+from lakeseek.llm.html_extract import Page, extract, path_scores
 
 
 def test_merkle_copies_among_different_neighbours():
@@ -49,6 +49,55 @@ def test_html_wrappers_named_after_what_stands_beside():
     assert extract("<div class='footer'><nav>a</nav></div>") == ""
 
 
+GOOD = "".join(f"<p>Good paragraph {i}, which says something, and more of it.</p>" for i in range(2))
+GOOD_TEXT = "\n".join(f"Good paragraph {i}, which says something, and more of it." for i in range(2))
+
+
+def test_html_names_count_as_a_whole():
+    for start in (
+        'div class="layout has-sidebar"', 'div class="with-sidebar"', 'article class="post share-enabled"', 'main class="side-by-side"', 'article class="notice-board"',
+        'article class="article legal-news"', 'div class="comment-free"', 'form id="page"', 'div style="display:none" class="content"',
+    ):
+        page = f"<html><body><nav><a>x</a></nav><{start}>{GOOD}</{start.split()[0]}><footer>f</footer></body></html>"
+        assert extract(page) == GOOD_TEXT, start
+    for name in ("site-footer", "cookie-notice", "sidebar", "related-posts", "comment-list", "socialShare", "ad"):
+        assert extract(f"<body><div>{GOOD}</div><div class='x {name}'><p>Other things to read, and more.</p></div></body>") == GOOD_TEXT, name
+
+
+def test_html_keeps_every_article_and_fallbacks():
+    assert extract(f"<article><h2>One</h2>{GOOD}</article><article><p>Short one.</p></article>") == f"One\n{GOOD_TEXT}\nShort one."
+    assert extract("<p>See <object>the object</object> and <noscript>this</noscript> text <canvas>here</canvas>.</p>") == "See the object and this text here."
+    assert extract(f"<div>{GOOD}<ul><li>tea</li><li>salt</li></ul>{GOOD}</div>") == f"{GOOD_TEXT}\ntea\nsalt\n{GOOD_TEXT}"
+
+
+def test_html_time_grows_with_the_page():
+    import time
+
+    for piece in ("<div>x", "<a ", "<a x='", "<a x=\">\"", "<p><b><i>", "</p>", "<!--", "<table><tr><td>x", "<svg", "<script>", "<li>", "&amp", "<div></b>", "=\"'>"):
+        began = time.perf_counter()
+        extract(piece * (300_000 // len(piece)))
+        assert time.perf_counter() - began < 5, piece
+
+
+def test_tag_path_scores_by_hand():
+    """Ratios, smoothing and fusion written out from the tags themselves."""
+    page = Page("<body><ul><li>a</li><li>bb</li></ul><div><p>Some words, here.</p><p>More; of them!</p><span>in</span><p>x</p></div></body>")
+    tags = lambda e: "" if not e else tags(page.parent[e]) + "/" + page.tag[e]
+    texts = [" ".join("".join(t for _, t in pieces).split()) for _, pieces in page.blocks]
+    named = [tags(e) for e, _ in page.blocks]
+    assert list(zip(named, texts)) == [
+        ("/body/ul/li", "a"), ("/body/ul/li", "bb"), ("/body/div/p", "Some words, here."), ("/body/div/p", "More; of them!"), ("/body/div", "in"), ("/body/div/p", "x"),
+    ]
+    own = {"/body/ul/li": 3 / 2, "/body/div/p": 32 / 3 * (1 + 4 / 3) ** 0.5, "/body/div": 2.0}
+    line = [own[n] for n in named]
+    at = lambda i: line[min(max(i, 0), 5)]
+    smooth = [sum(k * at(i + d) for d, k in zip(range(-2, 3), (1, 4, 6, 4, 1))) / 16 for i in range(6)]
+    want = {n: (own[n] * np.mean([s for s, m in zip(smooth, named) if m == n])) ** 0.5 for n in own}
+    paths = page.paths([False] * len(page.parent))
+    got = path_scores([(paths[e], t) for (e, _), t in zip(page.blocks, texts)])
+    assert {n: round(got[paths[e]], 9) for (e, _), n in zip(page.blocks, named)} == {n: round(w, 9) for n, w in want.items()}
+
+
 def test_decontamination_judges_every_window(spark):
     """Against all windows of all texts: items with parts swapped, shuffled, cut and repeated inside other words."""
     rng = np.random.default_rng(11)
