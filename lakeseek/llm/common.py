@@ -20,21 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, whose executors are this process, may do without."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         path = f"file://{tempfile.gettempdir()}/lakeseek-shared"
     return path.rstrip("/")
 
 
+def _on_files(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it as Parquet in the shared folder and read it again."""
+    """Cut the lineage of ``df``: write it as Parquet in the shared folder and read it again. The table goes with ``drop_table``, at the latest when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lakeseek-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    target, files = _on_files(spark, path)
+    files.deleteOnExit(target)
     _TABLES[id(out)] = (out, path)
     return out
 
@@ -43,18 +53,35 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 _TABLES: dict[int, tuple[DataFrame, str]] = {}
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table of ``materialise`` that nothing reads any more."""
-    _, path = _TABLES.pop(id(df))
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more."""
+    for df in tables:
+        _, path = _TABLES.pop(id(df))
+        target, files = _on_files(df.sparkSession, path)
+        files.delete(target, True)
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
 
+def packed(df: DataFrame, **named_columns: Column) -> DataFrame:
+    """``df`` as one struct column P + row and the given columns, each under P + its name: no name of ``df`` can clash with a helper's."""
+    return df.select(F.struct(*[named(c) for c in df.columns]).alias(P + "row"), *[c.alias(P + n) for n, c in named_columns.items()])
 
-def drop_tables() -> None:
-    """Delete all tables of this session's ``materialise`` calls; results that still read them must have been written."""
-    for df, _ in list(_TABLES.values()):
-        drop_table(df)
+
+def unpacked(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns of the packed row."""
+    return [F.col(P + "row").getField(c).alias(c) for c in columns]
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with "new_" before it as often as it takes not to be one of ``taken`` in any case of letters."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"new_{name}"
+    return name
 
 
 def size_bytes(df: DataFrame, column: str) -> int:
@@ -150,9 +177,7 @@ def joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, offs: np.ndarr
     return out[mask], size
 
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_M1, _M2 = 0x9E3779B97F4A7C13, 0xD6E8FEB86659FD93  # odd multipliers, 3 modulo 8
+_M1, _M2, _M3 = 0x9E3779B97F4A7C13, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB  # odd multipliers, 3 modulo 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -199,24 +224,38 @@ def spans(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int, salt: i
     return mix((prefix[hi] - prefix[lo]) * down[lo] + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64)) * ((hi - lo).astype(np.uint64) + np.uint64(1)))
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 22) -> np.ndarray:
-    """A 64-bit hash of every word, by slices of the bytes so that memory stays bounded."""
-    out = np.zeros(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + step, side="right")))
-        base, end = int(starts[at]), int(ends[stop - 1])
-        prefix = sums(_BYTE[raw[base:end]], _M1)
-        out[at:stop] = spans(prefix, starts[at:stop] - base, ends[at:stop] - base, _M1, 0)
-        at = stop
+_SALTS = [0x5851F42D4C957F2D, 0xA0761D6478BD642F]
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of every word. Words of up to 16 bytes are mixed as two whole numbers and their length, longer ones by XXH3.
+
+    Hashes of two salts are independent, so two of them make 128 bits.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    eights = np.ndarray(len(raw) + 9, "<u8", np.concatenate([raw, np.zeros(16, np.uint8)]).tobytes(), 0, (1,))
+    whole = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    length = ends - starts
+    out = mix((eights[starts] & whole[np.minimum(length, 8)]) ^ np.uint64(_SALTS[salt]))
+    more = np.flatnonzero(length > 8)
+    out[more] ^= eights[starts[more] + 8] & whole[np.minimum(length[more] - 8, 8)]
+    out = mix(out + length.astype(np.uint64) * np.uint64(_M1))
+    long = np.flatnonzero(length > 16)
+    if len(long):
+        import xxhash
+
+        digest, seed = xxhash.xxh3_64_intdigest, _SALTS[salt]
+        out[long] = [digest(raw[a:b].tobytes(), seed) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
     return out
 
 
-def window_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int, prefix: np.ndarray | None = None) -> np.ndarray:
+def window_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int, prefix: np.ndarray | None = None, base: int = _M2) -> np.ndarray:
+    """Hashes of the windows [lo, hi) of words; another ``base`` over words of another salt gives independent ones."""
     if prefix is None:
-        prefix = sums(words, _M2)
-    return spans(prefix, lo, hi, _M2, salt)
+        prefix = sums(words, base)
+    return spans(prefix, lo, hi, base, salt)
 
 
-def word_sums(words: np.ndarray) -> np.ndarray:
-    return sums(words, _M2)
+def word_sums(words: np.ndarray, base: int = _M2) -> np.ndarray:
+    return sums(words, base)

@@ -8,7 +8,7 @@ its large side, which adaptive execution splits.
 Defined cases: a null text stays null with 0 lines. Texts of fewer lines than a window lose nothing. Windows of blank lines only are
 no windows. Lines are compared as they are, without the newline. Fully equal rows (same id, same text) count as one text and share
 its decision; rows of one id with different texts are separate. A null id is an id of its own, the smallest. An empty table gives an
-empty result. Other columns, whatever their names, are kept as they are.
+empty result. Other columns, whatever their names, are kept as they are, but for two of the results' own names, which are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import SPACES, P, materialise
+from lakeseek.llm.common import SPACES, P, materialise, named, packed, unpacked
 
 
 def _windows(text: Column, width: int) -> Column:
@@ -41,7 +41,7 @@ def _windows(text: Column, width: int) -> Column:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, text hash, covered): the line numbers, from 0, that go from each text that loses any."""
     hits = materialise(
-        docs.select(F.col(id_col).alias(P + "id"), F.xxhash64(text_col).alias(P + "t"), F.explode(_windows(F.col(text_col), width)).alias(P + "w"))
+        docs.select(named(id_col).alias(P + "id"), F.xxhash64(named(text_col)).alias(P + "t"), F.explode(_windows(named(text_col), width)).alias(P + "w"))
         .select(P + "id", P + "t", P + "w.pos", P + "w.h1", P + "w.h2"),
         "line-windows",
     )
@@ -53,20 +53,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``docs`` with the text cut to the lines that stay, and n_lines and n_removed_lines as columns of the names P + these."""
+    """``docs`` with the text cut to the lines that stay, and n_lines and n_removed_lines as columns of the names P + these (in place of any such)."""
     gone = repeated_lines(docs, id_col, text_col, width).withColumnsRenamed({P + "id": P + "gid", P + "t": P + "gt"})
-    keyed = docs.withColumn(P + "t", F.xxhash64(text_col))
-    both = keyed.join(gone, keyed[id_col].eqNullSafe(gone[P + "gid"]) & (keyed[P + "t"] == gone[P + "gt"]), "left")
+    text, covered = F.col(P + "text"), F.col(P + "covered")
+    keyed = packed(docs, id=named(id_col), text=named(text_col), t=F.xxhash64(named(text_col)))
+    both = keyed.join(gone, F.col(P + "id").eqNullSafe(F.col(P + "gid")) & (F.col(P + "t") == F.col(P + "gt")), "left")
 
     def cut(lines: Column) -> Column:
-        at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(P + "covered"))
+        at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
         return F.array_join(F.transform(at, lambda i: F.element_at(lines, i + 1)), "\n")
 
-    kept = F.element_at(F.transform(F.array(F.split(F.col(text_col), "\n", -1)), cut), 1)
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1)
-    n_removed = F.coalesce(F.size(P + "covered"), F.lit(0))
-    return (
-        both.withColumns({P + "n_lines": n_lines.cast("long"), P + "n_removed_lines": F.when(F.col(P + "covered").isNull(), F.lit(0)).otherwise(n_removed).cast("long")})
-        .withColumn(text_col, F.when(F.col(P + "covered").isNull(), F.col(text_col)).otherwise(kept))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], P + "n_lines", P + "n_removed_lines")
-    )
+    kept = F.when(covered.isNull(), text).otherwise(F.element_at(F.transform(F.array(F.split(text, "\n", -1)), cut), 1))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)
+    added = [P + "n_lines", P + "n_removed_lines"]
+    own = [c for c in docs.columns if c not in added]
+    return both.select(
+        *[kept.alias(c) if c == text_col else column for c, column in zip(own, unpacked(both, own))],
+        n_lines.cast("long").alias(added[0]), F.when(covered.isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long").alias(added[1]),
+    )

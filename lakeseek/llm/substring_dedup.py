@@ -8,11 +8,12 @@ Windows of words are looked for at growing lengths; only what repeats at one len
   that repeat prove every full window in them a repeat at once, so only one copy has to go on;
 * level 3, the full length: the windows around surviving halves, each hashed and counted.
 
-Doubling ends at the contract's length: longer repeats cover no other words. Each level hashes with its own salt; a wrong match
-must collide at three levels.
+Doubling ends at the contract's length: longer repeats cover no other words. Level 1 only finds candidates and hashes with 64 bits; levels
+2 and 3 decide, with 128 bits: two hashes over independent word hashes.
 
-Texts are dealt once into groups of about a megabyte; all levels and the cut itself read that one exchange. Between levels only
-(hash, group) pairs travel, each once per group, so a passage shared by a third of all rows costs one row per group.
+Texts are dealt once into groups of about a megabyte, larger ones where there would be more than ``most_groups``; all levels and the cut
+itself read that one exchange. Between levels only (hash, group) pairs travel, each once per group, so a passage shared by a third of all
+rows costs one row per group: at most ``most_groups`` rows of some 30 bytes are ever brought together for one hash.
 
 Defined cases: a null text counts as empty (no words; the hash of the empty string). Texts shorter than the window lose nothing.
 Rows with the same doc_id, even equal rows, are separate texts: equal long rows remove each other's words entirely, as any
@@ -27,7 +28,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import P, group_count, joined, utf8, window_hashes, word_bounds, word_hashes, word_sums
+from lakeseek.llm.common import _M2, _M3, P, group_count, joined, named, utf8, window_hashes, word_bounds, word_hashes, word_sums
+
+Hashes = tuple[np.ndarray, np.ndarray]  # 128 bits in two halves
 
 SHORT, HALF = 1, 2  # salts of the levels
 SURROUNDINGS, FULL = 3, 4
@@ -64,9 +67,21 @@ class Group:
         self.lo, self.hi = np.repeat(self.offs[:-1], sizes), np.repeat(self.offs[1:], sizes)  # of each word's text
         self.at = np.arange(n)
         self.full = self.at + window <= self.hi  # a full window starts here
+        self._second: Hashes | None = None
+
+    def second_words(self) -> Hashes:
+        """Word hashes independent of the first, and their prefix sums."""
+        if self._second is None:
+            words = word_hashes(self.raw, self.starts, self.ends, 1)
+            self._second = words, word_sums(words, _M3)
+        return self._second
+
+    def hashes(self, lo: np.ndarray, hi: np.ndarray, salt: int) -> np.ndarray:
+        return window_hashes(self.words, lo, hi, salt, self.prefix, _M2)
 
-    def hashes(self, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int) -> np.ndarray:
-        return window_hashes(self.words, lo, hi, salt, self.prefix)
+    def wide(self, lo: np.ndarray, hi: np.ndarray, salt: int) -> Hashes:
+        words, prefix = self.second_words()
+        return self.hashes(lo, hi, salt), window_hashes(words, lo, hi, salt, prefix, _M3)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the short windows that are the smallest of some full window (all of them on a tie), and their hashes."""
@@ -74,7 +89,7 @@ class Group:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         h = np.full(len(self.words), np.iinfo(np.uint64).max, np.uint64)
         fits = np.flatnonzero(self.at + self.short <= self.hi)
-        h[fits] = self.hashes(fits, fits, fits + self.short, SHORT)
+        h[fits] = self.hashes(fits, fits + self.short, SHORT)
         width = self.window - self.short + 1
         least = _sliding(h, width, np.minimum, int(np.iinfo(np.uint64).max))
         least[~self.full] = 0
@@ -82,18 +97,16 @@ class Group:
         at = np.flatnonzero((most == h) & (most > 0))
         return at, h[at]
 
-    def second(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the half to the right, the half to the left (0 where the text ends first) and the surroundings."""
+    def second(self, at: np.ndarray) -> tuple[np.ndarray, Hashes, np.ndarray, Hashes, Hashes]:
+        """Which anchors have a half to the right, its hashes, the same to the left, and hashes of all anchors' surroundings."""
         back = self.half - self.short
-        right, left = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        ok = at + self.half <= self.hi[at]
-        right[ok] = self.hashes(at[ok], at[ok], at[ok] + self.half, HALF)
-        ok = at - back >= self.lo[at]
-        left[ok] = self.hashes(at[ok], at[ok] - back, at[ok] - back + self.half, HALF)
+        right = at[at + self.half <= self.hi[at]]
+        left = at[at - back >= self.lo[at]]
         reach = self.window - self.short
         first, last = np.maximum(at - reach, self.lo[at]), np.minimum(at + self.window, self.hi[at])
-        around = self.hashes(at, first, last, SURROUNDINGS) ^ ((at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return right, left, around
+        place = (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        a, b = self.wide(first, last, SURROUNDINGS)
+        return right, self.wide(right, right + self.half, HALF), left, self.wide(left - back, left - back + self.half, HALF), (a ^ place, b)
 
     def marked(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Which starts of full windows lie in any of the ranges [first, last]."""
@@ -116,87 +129,89 @@ class Group:
         return self.marked(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]))
 
 
-def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """known is sorted."""
-    if not len(known):
-        return np.zeros(len(values), bool)
-    i = np.searchsorted(known, values)
-    i[i == len(known)] = 0
-    return known[i] == values
+class Told:
+    """Repeated hashes as a group was told them, and which of them it stands for."""
 
+    def __init__(self, table):
+        h, w = (table.column(c).to_numpy().view(np.uint64) for c in (P + "h", P + "w"))
+        order = np.lexsort((w, h))
+        self.h, self.w = h[order], w[order]
+        self.mine = table.column(P + "mine").to_numpy(zero_copy_only=False).astype(bool)[order]
 
-def _told(table) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated hashes of this group, sorted, and which of them this group stands for."""
-    h = table.column(P + "h").to_numpy().view(np.uint64)
-    mine = table.column(P + "mine").to_numpy(zero_copy_only=False).astype(bool)
-    order = np.argsort(h, kind="stable")
-    return h[order], mine[order]
+    def has(self, hashes: Hashes, mine: bool = False) -> np.ndarray:
+        h, w = hashes
+        out = np.zeros(len(h), bool)
+        if len(self.h):
+            at, end = np.searchsorted(self.h, h), np.searchsorted(self.h, h, side="right")
+            while (more := at < end).any():  # nearly always one round: equal first halves are equal hashes
+                where = np.minimum(at, len(self.h) - 1)
+                out |= more & (self.w[where] == w) & (self.mine[where] if mine else True)
+                at = at + 1
+        return out
 
 
-def _rows(group: int, hashes: list[np.ndarray]):
+def _rows(group: int, hashes: list[Hashes]):
     import pyarrow as pa
 
-    h, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return pa.table({P + "h": h.view(np.int64), P + "g": np.full(len(h), group, np.int32), P + "n": np.minimum(n, 2).astype(np.int8)})
+    h, w = (np.concatenate([x[i] for x in hashes]) for i in (0, 1))
+    order = np.lexsort((w, h))
+    h, w = h[order], w[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(h) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(h)))
+    return pa.table({P + "h": h[first].view(np.int64), P + "w": w[first].view(np.int64), P + "g": np.full(len(first), group, np.int32), P + "n": np.minimum(n, 2).astype(np.int8)})
 
 
 def _repeated(sent: DataFrame) -> DataFrame:
     """Of (hash, group, count) the pairs whose hash occurs twice or more, and whether the group is the first to have it."""
-    own = Window.partitionBy(P + "h")
+    own = Window.partitionBy(P + "h", P + "w")
     seen = sent.select("*", F.sum(P + "n").over(own).alias(P + "c"), F.min(P + "g").over(own).alias(P + "m"))
-    return seen.filter(F.col(P + "c") > 1).select(P + "h", P + "g", (F.col(P + "g") == F.col(P + "m")).alias(P + "mine"))
+    return seen.filter(F.col(P + "c") > 1).select(P + "h", P + "w", P + "g", (F.col(P + "g") == F.col(P + "m")).alias(P + "mine"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, with_text: bool = False, most_groups: int = 1 << 22) -> DataFrame:
     """Per text: id, n_words, n_removed, kept_sha256, spans (removed runs [first word, one past the last]) and, if asked, kept_text.
 
     A word goes if a window of ``window`` words covers it whose sequence also starts anywhere else.
     """
-    groups = group_count(docs, text_col)
-    dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(groups)).cast("int").alias(P + "g"), F.col(id_col).alias(P + "id"), F.col(text_col).alias(P + "t")
-    )
-    sent_type = f"`{P}h` bigint, `{P}g` int, `{P}n` tinyint"
+    groups = min(group_count(docs, text_col), most_groups)
+    own_id, own_text = named(id_col), named(text_col)
+    dealt = docs.select(F.pmod(F.xxhash64(own_id, own_text), F.lit(groups)).cast("int").alias(P + "g"), own_id.alias(P + "id"), own_text.alias(P + "t"))
+    sent_type = f"`{P}h` bigint, `{P}w` bigint, `{P}g` int, `{P}n` tinyint"
 
     def level1(key, texts):
         _, h = Group(texts.column(P + "t"), window).anchors()
-        return _rows(key[0].as_py(), [h])
+        return _rows(key[0].as_py(), [(h, np.zeros(len(h), np.uint64))])
 
     def level2(key, texts, told):
         group = Group(texts.column(P + "t"), window)
-        known, _ = _told(told)
         at, h = group.anchors()
-        at = at[_in(h, known)]
-        right, left, around = group.second(at)
-        return _rows(key[0].as_py(), [right[right != 0], left[left != 0], around])
+        _, right, _, left, around = group.second(at[Told(told).has((h, np.zeros(len(h), np.uint64)))])
+        return _rows(key[0].as_py(), [right, left, around])
 
-    def judged(group: Group, known: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def judged(group: Group, told: Told) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows proven to repeat, windows of which that is this group's to send on, and windows still open."""
         at, _ = group.anchors()
-        right, left, around = group.second(at)
-        proven = _in(around, known)
-        certain = group.around(at[proven])
-        first = group.around(at[_in(around, known[mine])])
-        open_ = group.beside(at[_in(right, known) & (right != 0)], at[_in(left, known) & (left != 0)]) & ~certain
+        right, right_hash, left, left_hash, around = group.second(at)
+        certain = group.around(at[told.has(around)])
+        first = group.around(at[told.has(around, mine=True)])
+        open_ = group.beside(right[told.has(right_hash)], left[told.has(left_hash)]) & ~certain
         return certain, first, open_
 
     def level3(key, texts, told):
         group = Group(texts.column(P + "t"), window)
-        _, first, open_ = judged(group, *_told(told))
+        _, first, open_ = judged(group, Told(told))
         at = np.flatnonzero(first | open_)
-        return _rows(key[0].as_py(), [group.hashes(at, at, at + window, FULL)])
+        return _rows(key[0].as_py(), [group.wide(at, at + window, FULL)])
 
     def cut(key, texts, told):
         import pyarrow as pa
 
         group = Group(texts.column(P + "t"), window)
         full = told.column(P + "full").to_numpy(zero_copy_only=False).astype(bool)
-        known, mine = _told(told.filter(pa.array(~full)))
-        final, _ = _told(told.filter(pa.array(full)))
-        certain, _, open_ = judged(group, known, mine)
+        certain, _, open_ = judged(group, Told(told.filter(pa.array(~full))))
         at = np.flatnonzero(open_)
         hit = certain
-        hit[at[_in(group.hashes(at, at, at + window, FULL), final)]] = True
+        hit[at[Told(told.filter(pa.array(full))).has(group.wide(at, at + window, FULL))]] = True
         edge = np.zeros(len(hit) + window + 1, np.int32)
         edge[np.flatnonzero(hit)] += 1
         edge[np.flatnonzero(hit) + window] -= 1
