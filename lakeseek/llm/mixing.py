@@ -3,32 +3,39 @@
 A source's weight is its share of all tokens to the power alpha, normalised. Alpha is found by bisection: the largest alpha (closest
 to the natural shares) at which the weights' entropy reaches ``target_entropy`` of the largest possible, or, with
 ``max_repetition``, the smallest at which no source is read more often than that; where both are given both hold, the repetition limit first. The
-weights times the token budget are the sources' budgets.
-
-A budget is realised as passes over permuted blocks: documents fall by hash into blocks of about ``block_tokens`` tokens; every pass
-takes its source's blocks in the order of a hash of (seed, pass, block), and inside a block its documents by a hash of (seed, pass, document).
-Whole passes take everything; the last pass takes blocks up to the budget, and of the block that crosses it the documents up to it. A source
-gets its budget to within one document. ``order_key`` (0 to 1) places every taken block in the whole mix, ``doc_key`` a document in
-its block: sorted by (order_key, source, block, doc_key), sources interleave in proportion at any point of the mix.
-
-The corpus is only counted, by (source, block); a source's decision is a few numbers in one row, joined back by broadcast while there are
-at most ``broadcast_rows`` sources, shuffled otherwise. No text moves. Running sums run over a source's blocks of the last pass and over
-the documents of one block, never over a source's documents.
+weights times the token budget are the sources' budgets. Where no alpha can hold the repetition limit (a budget of more than that many
+times all tokens), budgets are cut to it and the mix is smaller than asked; nothing is dealt to other sources instead.
+
+A budget is realised as passes over permuted blocks: documents fall by hash into their source's blocks of about ``block_tokens`` tokens,
+as many blocks as the counted tokens ask for; every pass takes its source's blocks in the order of a hash of (seed, pass, block), and inside
+a block its documents by a hash of (seed, pass, document). Whole passes take everything; the last pass takes blocks up to the budget, and
+of the block that crosses it the documents up to it. A source gets its budget to within one document. ``order_key`` (0 to 1) places every
+taken block in the whole mix, ``doc_key`` a document in its block: sorted by (order_key, source, block, doc_key), sources interleave in
+proportion at any point of the mix.
+
+The texts are read twice: to count each document's tokens (kept as one small row a document, from which all sums come) and to take the
+documents. A source's decision is a few numbers in one row, joined back by broadcast while there are at most ``broadcast_rows`` sources,
+shuffled otherwise; then alpha is bisected on distributed sums too. No text moves. The block where a budget ends is found in three steps,
+each a running sum over few rows of a source: over ``RANGES`` equal ranges of the blocks' order, over the blocks of the one range that
+crosses, over the documents of the one block.
 
 Defined cases: a null source is a source of its own. A null or wordless text has 0 tokens; it comes with its block in whole passes.
-A corpus without tokens gets every row once. Equal rows are hashed alike and taken together. An empty table gives an empty result.
+A corpus without tokens gets every row once. Equal rows are hashed alike and taken together. An empty table gives an empty result. New
+columns whose name the input has already get "new_" before theirs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import P, materialise, native_words
+from lakeseek.llm.common import P, drop_table, free_name, materialise, named, native_words, packed, unpacked
 
 SPAN = 1 << 62  # hashes are used as numbers from 0 up to this
+RANGES = 1 << 12  # of a source's block order
 
 
 def weights(shares: list[float], alpha: float) -> list[float]:
@@ -40,11 +47,17 @@ def entropy(w: list[float]) -> float:
     return -sum(x * math.log(x) for x in w if x > 0)
 
 
-def solve_alpha(tokens: list[int], budget: float, target_entropy: float | None, max_repetition: float | None, steps: int = 60) -> float:
-    """Alpha in [0, 1]. Entropy falls and the largest repetition falls as alpha grows, so both borders are found by bisection."""
-    total = sum(tokens)
-    shares = [t / total for t in tokens]
-    some = sum(t > 0 for t in tokens)
+#: For an alpha the sums over sources with tokens of x and of x * log(share), x the share to the power alpha.
+Moments = Callable[[float], tuple[float, float]]
+
+
+def moments_of(shares: list[float]) -> Moments:
+    some = [s for s in shares if s > 0]
+    return lambda alpha: (math.fsum(s**alpha for s in some), math.fsum(s**alpha * math.log(s) for s in some))
+
+
+def bisect_alpha(moments: Moments, sources: int, least_share: float, budget_share: float, target_entropy: float | None, max_repetition: float | None, steps: int = 60) -> float:
+    """Alpha in [0, 1]. Entropy falls and the largest repetition, which is the smallest source's, falls as alpha grows, so both borders are found by bisection."""
 
     def border(holds) -> float:
         """The largest alpha at which ``holds``, which is true at small alphas; 0 if at none, 1 if at all."""
@@ -56,92 +69,117 @@ def solve_alpha(tokens: list[int], budget: float, target_entropy: float | None,
             lo, hi = (mid, hi) if holds(mid) else (lo, mid)
         return lo
 
+    def spread(alpha: float) -> float:
+        z, s = moments(alpha)
+        return math.log(z) - alpha * s / z
+
+    def over(alpha: float) -> bool:
+        return least_share ** (alpha - 1) * budget_share / moments(alpha)[0] > max_repetition
+
     alpha = 1.0
-    if target_entropy is not None and some > 1:
-        alpha = border(lambda a: entropy(weights(shares, a)) >= target_entropy * math.log(some))
-    if max_repetition is not None:
-        over = lambda a: max(w * budget / t for w, t in zip(weights(shares, a), tokens) if t) > max_repetition
-        alpha = max(alpha, border(over) if over(alpha) else alpha)
+    if target_entropy is not None and sources > 1:
+        alpha = border(lambda a: spread(a) >= target_entropy * math.log(sources))
+    if max_repetition is not None and over(alpha):
+        alpha = max(alpha, border(over))
     return alpha
 
 
+def solve_alpha(tokens: list[int], budget: float, target_entropy: float | None, max_repetition: float | None) -> float:
+    total = sum(tokens)
+    shares = [t / total for t in tokens if t]
+    return bisect_alpha(moments_of(shares), len(shares), min(shares), budget / total, target_entropy, max_repetition)
+
+
 def _hash(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 2)
 
 
+def _crossing(rows: DataFrame, key: list[str], order: list[str], amount: str, left: str) -> DataFrame:
+    """Of each ``key`` the first row in ``order`` with which the running sum of ``amount`` exceeds ``left``, with what it still may take as ``left``."""
+    running = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = rows.withColumn("upto", F.sum(amount).over(running)).filter(F.col("upto") > F.col(left))
+    first = F.min_by(F.struct(*order, (F.col(left) - F.col("upto") + F.col(amount)).alias("left")), F.struct(*order))
+    return over.groupBy(*key).agg(first.alias("cut"))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = 0.98, max_repetition: float | None = 4.0,
     budget_share: float = 1.0, block_tokens: int = 50_000, seed: int = 17, broadcast_rows: int = 100_000, keep: list[str] | None = None,
 ) -> DataFrame:
     """The taken rows: ``keep`` (by default the input's columns), n_tokens, epoch, block, order_key, doc_key. The budget is ``budget_share`` of all tokens."""
     keep = docs.columns if keep is None else keep
-    tokens = F.size(native_words(F.col(text_col))).cast("long")
-    row_hash = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    base = docs.select(F.col(source_col).alias(P + "s"), row_hash.alias(P + "r"), tokens.alias(P + "n"))
-    # (source, fine block) counts: 4,096 fine blocks a source at most, joined to blocks of the wanted size afterwards
-    cells = 4096
-    fine = base.groupBy(P + "s", F.pmod(F.col(P + "r"), F.lit(cells)).alias("cell")).agg(F.sum(P + "n").alias("n"), F.count("*").alias("rows"))
-    fine = materialise(fine, "mix-cells")
-    totals = materialise(fine.groupBy(P + "s").agg(F.sum("n").alias("total")), "mix-sources")
-    rows = totals.select("total").collect()  # one number per source
-    counts = [r[0] or 0 for r in rows]
-    all_tokens = sum(counts)
-    budget = budget_share * all_tokens
-    alpha = solve_alpha(counts, budget, target_entropy, max_repetition) if all_tokens else 1.0
-    norm = sum((c / all_tokens) ** alpha for c in counts if c) if all_tokens else 1.0
-    share = F.when(F.col("total") > 0, F.pow(F.col("total") / F.lit(max(1, all_tokens)), F.lit(alpha)) / F.lit(norm)).otherwise(F.lit(0.0))
-    # a source's blocks: cells joined to about block_tokens; one cell is the smallest
-    plan = totals.select(
-        P + "s", "total", share.alias("weight"),
-        F.least(F.lit(cells), F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(block_tokens)))).cast("long").alias("blocks"),
-    ).withColumn("budget", F.when(F.col("total") > 0, F.col("weight") * F.lit(budget)).otherwise(F.lit(0.0)))
-    # no source repeats more than the limit, even where no alpha can hold it
+    tokens = F.size(native_words(named(text_col))).cast("long")
+    row_hash = F.xxhash64(F.lit(seed), named(id_col), named(text_col))
+    counted = materialise(docs.select(named(source_col).alias("s"), row_hash.alias("r"), tokens.alias("n")), "mix-tokens")
+    totals = materialise(counted.groupBy("s").agg(F.sum("n").alias("total")), "mix-sources")
+    whole = totals.agg(F.count("*"), F.sum("total"), F.min(F.when(F.col("total") > 0, F.col("total"))), F.count_if(F.col("total") > 0)).first()
+    few, all_tokens = whole[0] <= broadcast_rows, whole[1] or 0
+    alpha = norm = 1.0
+    if all_tokens:
+        share = F.col("total") / F.lit(all_tokens)
+        if few:
+            moments = moments_of([r[0] / all_tokens for r in totals.select("total").collect()])
+        else:
+            some = totals.filter("total > 0").select(share.alias("x"))
+
+            def moments(a: float) -> tuple[float, float]:
+                power = F.pow("x", F.lit(a))
+                return tuple(some.agg(F.sum(power), F.sum(power * F.log("x"))).first())
+
+        alpha = bisect_alpha(moments, whole[3], whole[2] / all_tokens, budget_share, target_entropy, max_repetition)
+        norm = moments(alpha)[0]
+    total = F.col("total")
+    weight = F.when(total > 0, F.pow(total / F.lit(max(1, all_tokens)), F.lit(alpha)) / F.lit(norm)).otherwise(F.lit(0.0))
+    budget = F.when(total > 0, weight * F.lit(budget_share * all_tokens)).otherwise(F.lit(0.0))
     if max_repetition is not None:
-        plan = plan.withColumn("budget", F.least(F.col("budget"), F.col("total") * F.lit(float(max_repetition))))
-    plan = plan.withColumn("whole", F.when(F.col("total") > 0, F.floor(F.col("budget") / F.col("total") + F.lit(1e-12))).otherwise(F.lit(1))).withColumn(
-        "rest", F.when(F.col("total") > 0, F.col("budget") - F.col("whole") * F.col("total")).otherwise(F.lit(0.0))
-    )
-    few = len(rows) <= broadcast_rows
-
-    def by_source(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnRenamed(P + "s", P + "ps")
-        return left.join(F.broadcast(right) if few else right, left[P + "s"].eqNullSafe(right[P + "ps"])).drop(P + "ps")
-
-    def block_of(cell: Column) -> Column:
-        return F.pmod(cell, F.col("blocks"))
-
-    # the block of the last pass that crosses the budget
-    sized = by_source(fine, plan).withColumn("block", block_of(F.col("cell"))).groupBy(P + "s", "block", "whole", "rest").agg(F.sum("n").alias("n"))
-    sized = sized.withColumn("place", _hash(F.lit(seed), F.col("whole"), F.col("block")))
-    order = Window.partitionBy(P + "s").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    crossing = sized.withColumn("upto", F.sum("n").over(order)).filter(F.col("upto") > F.col("rest")).groupBy(P + "s").agg(F.min(F.struct("place", "block", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("cut"))
-    plan = materialise(plan.join(crossing.withColumnRenamed(P + "s", P + "ps"), F.col(P + "s").eqNullSafe(F.col(P + "ps")), "left").drop(P + "ps"), "mix-plan")
-    # and of that block the documents
-    within = by_source(base, plan.filter("cut is not null and rest > 0")).withColumn("block", block_of(F.pmod(F.col(P + "r"), F.lit(cells)))).filter(F.col("block") == F.col("cut.block"))
-    within = within.withColumn("at", _hash(F.lit(seed + 1), F.col("whole"), F.col(P + "r")))
-    order = Window.partitionBy(P + "s").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = within.withColumn("before", F.sum(P + "n").over(order) - F.col(P + "n")).filter(F.col("before") < F.col("cut.left")).groupBy(P + "s").agg(F.max("at").alias("last_at"))
-    plan = materialise(plan.join(ends.withColumnRenamed(P + "s", P + "ps"), F.col(P + "s").eqNullSafe(F.col(P + "ps")), "left").drop(P + "ps"), "mix-decisions")
-    plan = plan.select(
-        P + "s", "weight", F.col("total").alias(P + "total"), F.col("blocks"), F.col("whole"), F.col("rest"), F.col("budget"), F.col("cut.place").alias("cut_place"), F.col("cut.block").alias("cut_block"), "last_at"
-    )
-    decisions = plan.select(*[F.col(c).alias(c if c.startswith(P) else P + c) for c in plan.columns])
-
-    marked = docs.withColumns({P + "s": F.col(source_col), P + "r": row_hash, P + "n": tokens})
-    marked = by_source(marked, decisions)
-    block = F.pmod(F.pmod(F.col(P + "r"), F.lit(cells)), F.col(P + "blocks"))
-    marked = marked.withColumn(P + "block", block)
-    whole = F.col(P + "whole")
-    place, at = _hash(F.lit(seed), whole, F.col(P + "block")), _hash(F.lit(seed + 1), whole, F.col(P + "r"))
-    before = F.struct(place.alias("p"), F.col(P + "block").alias("b")) < F.struct(F.col(P + "cut_place").alias("p"), F.col(P + "cut_block").alias("b"))
-    partly = (F.col(P + "rest") > 0) & (before | ((F.col(P + "block") == F.col(P + "cut_block")) & F.coalesce(at <= F.col(P + "last_at"), F.lit(False))))
-    passes = (whole + F.when(partly, 1).otherwise(0)).cast("int")
-    taken = marked.filter(passes > 0).withColumn(P + "epoch", F.explode(F.sequence(F.lit(0), passes - 1)))
-    epoch = F.col(P + "epoch")
-    size = F.greatest(F.lit(1e-9), F.col(P + "budget") / F.greatest(F.lit(1), F.col(P + "total")))
+        budget = F.least(budget, total * F.lit(float(max_repetition)))
+    plan = totals.select("s", "total", F.greatest(F.lit(1), F.ceil(total / F.lit(block_tokens))).cast("long").alias("blocks"), budget.alias("budget"))
+    passes = F.when(total > 0, F.floor(F.col("budget") / total + F.lit(1e-12))).otherwise(F.lit(1)).cast("long")
+    plan = plan.withColumn("whole", passes)
+    plan = plan.withColumn("rest", F.when(total > 0, F.col("budget") - F.col("whole") * total).otherwise(F.lit(0.0)))
+
+    def by_source(left: DataFrame, right: DataFrame, key: str = "s") -> DataFrame:
+        right = right.withColumnRenamed("s", "of")
+        return left.join(F.broadcast(right) if few else right, left[key].eqNullSafe(right["of"])).drop("of")
+
+    # the last pass: the range of the order that crosses the budget, in it the block, in that the documents
+    blocks = by_source(counted, plan).withColumn("block", F.pmod("r", "blocks")).groupBy("s", "block", "whole", "rest").agg(F.sum("n").alias("n"))
+    blocks = blocks.withColumn("place", _hash(F.lit(seed), "whole", "block")).withColumn("range", F.shiftright("place", 62 - int(math.log2(RANGES))))
+    blocks = materialise(blocks, "mix-blocks")
+    ranges = blocks.groupBy("s", "range", "rest").agg(F.sum("n").alias("n"))
+    crossing_ranges = materialise(_crossing(ranges, ["s"], ["range"], "n", "rest"), "mix-ranges")
+    crossed = crossing_ranges.select("s", F.col("cut.range").alias("range"), F.col("cut.left").alias("left"))
+    inner = by_source(blocks.select("s", "place", "block", "n", F.col("range").alias("own")), crossed).filter("own = range")
+    cut = _crossing(inner, ["s"], ["place", "block"], "n", "left").select("s", "cut.place", "cut.block", "cut.left")
+    cut = materialise(cut, "mix-cuts")
+    ended = by_source(by_source(counted, plan.select("s", "whole", "blocks", "rest")).filter("rest > 0"), cut).filter(F.pmod("r", "blocks") == F.col("block"))
+    ended = ended.withColumn("at", _hash(F.lit(seed + 1), "whole", "r"))
+    same = Window.partitionBy("s").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = ended.withColumn("before", F.sum("n").over(same) - F.col("n")).filter(F.col("before") < F.col("left")).groupBy("s").agg(F.max("at").alias("last_at"))
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.withColumnRenamed("s", "of")
+        return left.join(right, left["s"].eqNullSafe(right["of"]), "left").drop("of")
+
+    plan = beside(beside(plan, cut.select("s", F.col("place").alias("cut_place"), F.col("block").alias("cut_block"))), last)
+    plan = materialise(plan, "mix-decisions")
+    drop_table(blocks, crossing_ranges, cut, counted, totals)
+
+    marked = packed(docs, s=named(source_col), r=row_hash, n=tokens)
+    marked = by_source(marked, plan, P + "s").withColumn("block", F.pmod(P + "r", "blocks"))
+    place, at = _hash(F.lit(seed), "whole", "block"), _hash(F.lit(seed + 1), "whole", P + "r")
+    before = F.struct(place.alias("p"), F.col("block").alias("b")) < F.struct(F.col("cut_place").alias("p"), F.col("cut_block").alias("b"))
+    partly = (F.col("rest") > 0) & (before | ((F.col("block") == F.col("cut_block")) & F.coalesce(at <= F.col("last_at"), F.lit(False))))
+    passes = (F.col("whole") + F.when(partly, 1).otherwise(0)).cast("int")
+    taken = marked.filter(passes > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), passes - 1)))
+    epoch = F.col("epoch")
+    size = F.greatest(F.lit(1e-9), F.col("budget") / F.greatest(F.lit(1), F.col("total")))
     # where the block stands in its pass; in the last, partial one, of the share that is taken
     spread = F.greatest(F.lit(1e-9), F.least(F.lit(1.0), size - epoch))
-    inside = (_hash(F.lit(seed), epoch.cast("long"), F.col(P + "block")) / F.lit(float(SPAN))) * F.when(epoch < whole, F.lit(1.0)).otherwise(spread / F.greatest(F.lit(1e-9), F.coalesce(F.col(P + "cut_place"), F.lit(SPAN)) / F.lit(float(SPAN))))
-    key = F.least(F.lit(1.0), (epoch + F.least(F.lit(1.0), inside)) / F.greatest(size, F.lit(1e-9)))
-    doc_key = F.round(_hash(F.lit(seed + 1), epoch.cast("long"), F.col(P + "r")) / F.lit(float(SPAN)), 9)
-    return taken.select(*[F.col(f"`{c}`") for c in keep], F.col(P + "n").alias("n_tokens"), epoch.alias("epoch"), F.col(P + "block").alias("block"), F.round(key, 9).alias("order_key"), doc_key.alias("doc_key"))
+    share_taken = F.greatest(F.lit(1e-9), F.coalesce(F.col("cut_place"), F.lit(SPAN)) / F.lit(float(SPAN)))
+    inside = (_hash(F.lit(seed), epoch.cast("long"), "block") / F.lit(float(SPAN))) * F.when(epoch < F.col("whole"), F.lit(1.0)).otherwise(spread / share_taken)
+    new = {
+        "n_tokens": F.col(P + "n"), "epoch": epoch, "block": F.col("block"), "order_key": F.round(F.least(F.lit(1.0), (epoch + F.least(F.lit(1.0), inside)) / size), 9),
+        "doc_key": F.round(_hash(F.lit(seed + 1), epoch.cast("long"), P + "r") / F.lit(float(SPAN)), 9),
+    }
+    return taken.select(*unpacked(taken, keep), *[c.alias(free_name(name, keep)) for name, c in new.items()])
