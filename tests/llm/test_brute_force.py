@@ -115,7 +115,7 @@ def test_merkle_locates_edits():
 
     lines = [f"paragraph {i} says this and that about {i * 7}" for i in range(60)]
     a, b = "\n".join(lines), "\n".join(lines[:30] + ["something new"] + lines[31:])
-    prints = [merkle.fingerprint(t.encode(), merkle.leaves(pa.array([t]))[0]) for t in (a, b)]
+    prints = [merkle.fingerprint(t) for t in merkle.trees(pa.array([a, b]))]
     assert len(merkle.edited_branches(*prints)) == 1 and merkle.edited_branches(prints[0], prints[0]) == []
     assert 0.9 < merkle.likeness(*prints) < 1 == merkle.likeness(prints[0], prints[0])
 

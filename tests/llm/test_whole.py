@@ -10,20 +10,55 @@ from lakeseek.llm.decontaminate import contaminated
 from lakeseek.llm.html_extract import Page, extract, path_scores
 
 
+def prints(texts):
+    return [merkle.fingerprint(t) for t in merkle.trees(pa.array(texts, pa.large_string()))]
+
+
 def test_merkle_copies_among_different_neighbours():
     words = [f"w{i * 7919 % 1000}" for i in range(4000)]
     copies = [" ".join(words[5 * k : 5 * k + 20]) + "\n" + " ".join(words[5 * k + 20 : 5 * k + 40]) for k in range(100)]
-
-    def prints(before, after):
-        leaf, at = merkle.leaves(pa.array([x for c in copies for x in (before, c, after)], pa.large_string()))
-        return [merkle.fingerprint(c.encode(), leaf[at[3 * k + 1] : at[3 * k + 2]]) for k, c in enumerate(copies)]
-
-    alone = [merkle.fingerprint(c.encode(), merkle.leaves(pa.array([c], pa.large_string()))[0]) for c in copies]
-    assert prints("", "") == prints("one two three four", "five six seven") == prints("eight\nnine", "\nten") == alone
-    # equal paragraphs have equal leaves, whatever stands around them
+    among = lambda before, after: prints([x for c in copies for x in (before, c, after)])[1::3]
+    alone = [prints([c])[0] for c in copies]
+    assert among("", "") == among("one two three four", "five six seven") == among("eight\nnine", "\nten") == alone
+    # equal paragraphs have equal leaves and digests, whatever stands around them
     for c in copies:
-        own = [merkle.leaves(pa.array([p], pa.large_string()))[0].tolist() for p in c.split("\n")]
-        assert merkle.leaves(pa.array([c], pa.large_string()))[0].tolist() == own[0] + own[1]
+        own = [p for x in c.split("\n") for _, section in merkle.parsed(prints([x])[0])[1] for p in section]
+        assert [p for _, section in merkle.parsed(prints([c])[0])[1] for p in section] == own
+
+
+def test_merkle_tree_by_hand():
+    """The tree put together from the definition, and likeness as the share of leaves in equal branches."""
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    sha = lambda x: hashlib.sha256(x).digest()
+    texts = ["", "\n", " a \n\n b", "one"] + ["\n".join(" ".join(f"w{x}" for x in rng.integers(0, 50, rng.integers(0, 30))) for _ in range(rng.integers(1, 12))) for _ in range(40)]
+    grown = merkle.trees(pa.array(texts, pa.large_string()))
+    for text, (root, sections) in zip(texts, grown):
+        lines = text.encode().split(b"\n")
+        assert sum(len(ps) for _, ps in sections) == len(lines)
+        assert root == sha(b"".join(s for s, _ in sections)).hex()
+        at = 0
+        for s, ps in sections:
+            assert s == sha(b"".join(p for p, _ in ps))
+            for k, (p, leaves) in enumerate(ps):
+                # cut the line's bytes wherever its leaves say, by trying all word starts
+                line, digests, lo = lines[at], [], 0
+                for i in range(len(leaves) // 3):
+                    ends = [len(line)] if i + 1 == len(leaves) // 3 else range(lo + 1, len(line))
+                    hi = next(e for e in ends if sha(line[lo:e])[:3] == leaves[3 * i : 3 * i + 3])
+                    digests.append(sha(line[lo:hi]))
+                    lo = hi
+                assert p == sha(b"".join(digests)) and lo == len(line)
+                closes = p[4] & 7 == 0 or not line.strip()
+                assert closes == (k + 1 == len(ps)) or at + 1 == len(lines)
+                at += 1
+    bag = lambda t: Counter(leaves[i : i + 3] for _, ps in t[1] for _, leaves in ps for i in range(0, len(leaves), 3))
+    for a, b in zip(range(40), rng.integers(0, len(texts), 40)):
+        x, y = bag(grown[a]), bag(grown[b])
+        want = 1.0 if texts[a] == texts[b] else 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values()))
+        got = merkle.likeness(*(merkle.fingerprint(grown[i]) for i in (a, b)))
+        assert abs(got - want) < 1e-12 and got == merkle.tree_likeness(grown[a], grown[b])
 
 
 PARTS = ["A heading of the page", *[f"Sentence number {i} of the article, long enough to be text, has commas, and an end." for i in range(6)]]
