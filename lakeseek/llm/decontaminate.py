@@ -3,32 +3,34 @@
 A text is contaminated by an item if one of its windows of the item's number of words has a weighted Jaccard similarity of at least
 ``threshold`` with the item, over word shingles weighted by how often they occur. The steps:
 
-1. Every text's shingles (A-Z lower-cased words, five each) are matched with the items' shingles. Two windows of equal size m reach
-   similarity s only if they share 2s/(1+s) m shingles, so a (text, item) pair with fewer matched positions goes; nothing else does.
-2. Item-sized windows that hold enough matched positions are laid, whatever the order of the shingles; each gets a 64-bit SimHash. Of
-   these only such as some window at least as similar does not stand beside are needed: a window that starts on no matched shingle
-   yields to the next one, and one whose last shingle is not matched, to the one before. Windows where a matched shingle of the text
-   falls on its place in the item are laid too, and come first among the equally similar ones; then the smallest start.
-3. Multi-index blocks: ``radius`` + 1 blocks of bits, joined with the item's blocks; a window within the radius must share one. The
-   Hamming distance is verified. At a similarity of 0.8 about 10 of 64 bits differ; a radius of 23 leaves out about one in 10**5.
-4. The exact weighted similarity decides.
-
-What is broadcast is counted first: items' shingles and the ids of texts that passed step 1, up to ``broadcast_rows`` rows of 8 to 24
-bytes; beyond that the same joins are shuffled.
+1. Windows that can't be similar to any item of their size go: of every text, shingles (A-Z lower-cased words, five each) that no item has
+   are left out, and for each size of item the windows that hold fewer than the 2s/(1+s) m shingles of such items that two windows of m
+   shingles and similarity s share. Which item it is plays no part yet. Of the rest only such windows as none beside them is sure to equal
+   or beat for every item are laid: a window that starts on no matched shingle yields to the next one, and one whose last shingle is not
+   matched, to the one before, if that starts on a matched one.
+2. Each window laid, and each item, gets a 64-bit SimHash over its shingles.
+3. Multi-index Hamming blocks find the candidates: four blocks of 16 bits; of two fingerprints within ``radius`` one block differs in at most
+   a quarter of it, so the items are dealt out under all block values that near, the windows under their own. Every item of the window's
+   size within the radius is met; the Hamming distance is verified. At a similarity of 0.8 about 10 of 64 bits differ, with a deviation
+   of 3: the radius of 19 leaves out about one in 3,000 such windows, fewer of more similar ones.
+4. The exact weighted similarity decides. The best window of each text and item is told, of equal ones the first laid.
+
+What is broadcast is counted first: items' shingles, items' block values and the ids of texts that passed step 1, up to ``broadcast_rows``
+rows of 8 to 24 bytes; beyond that the same joins are shuffled. A common shingle meets the sizes of the items that have it, not the items.
 
 Defined cases: null and wordless texts and items match nothing. An item of fewer words than a shingle has one shingle, its whole
-sequence, and a text shorter than the item is one window, whole. Equal rows count as one text. Null ids are ids. Empty tables give
-empty results. Only the named columns are read.
+sequence, and a text shorter than the item is one window, whole. Equal rows count as one text. Several texts under one item_id are
+items of their own; the best of them is told. Null ids are ids. Empty tables give empty results. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import SPACES, P, materialise
+from lakeseek.llm.common import SPACES, P, drop_table, materialise, named, packed, unpacked
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -49,52 +51,57 @@ def _shingles(text: Column, size: int) -> Column:
     return F.element_at(F.transform(F.array(_word_hashes(text)), of), 1)
 
 
-def _simhash_sums(h: Column) -> list[Column]:
-    """Sums of the bits of ``h`` over a group, four counters of 16 bits in each of 16 numbers."""
-    out = []
-    for nibble in range(16):
-        x = F.shiftrightunsigned(h, 4 * nibble).bitwiseAND(F.lit(15))
-        lanes = [F.shiftleft(x.bitwiseAND(F.lit(1 << k)), 15 * k) for k in range(4)]
-        out.append(F.sum(lanes[0] + lanes[1] + lanes[2] + lanes[3]).alias(f"s{nibble}"))
-    return out
+LANES = 1 + (1 << 21) + (1 << 42)  # three counters in one number, each of 20 bits and one for the comparison: windows of up to a million words
 
 
-def _simhash(count: Column) -> Column:
-    bits = None
-    for b in range(64):
-        own = F.shiftrightunsigned(F.col(f"s{b // 4}"), 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF))
-        bit = F.when(own * 2 > count, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return bits
+def _simhash_sums() -> list[Column]:
+    """Sums of the bits of the hashes h of a group, three counters in each of 22 numbers. As SQL text, which is planned far faster than as many calls."""
+    lanes = "(shiftrightunsigned(h, {0}) & 1) + shiftleft(shiftrightunsigned(h, {0}) & 2, 20) + shiftleft(shiftrightunsigned(h, {0}) & 4, 40)"
+    return [F.expr(f"sum({lanes.format(3 * g)}) AS s{g}") for g in range(22)]
 
 
-def _blocks(fp: Column, n: int) -> Column:
-    edges = [64 * k // n for k in range(n + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
+def _simhash(count: str) -> Column:
+    """Adding to a counter what carries it over 2**20 if it is more than half of ``count`` compares all three at once; 64 of the 66 flags are the fingerprint."""
+    over = [f"((s{g} + (1048575 - {count} div 2) * {LANES}) & {LANES << 20})" for g in range(22)]
+    bits = [f"shiftrightunsigned({x}, {20 - g})" for g, x in enumerate(over[:21])] + [f"shiftleft({over[21]} & 1048576, 43)"]
+    return F.expr(" | ".join(bits))
+
+
+def _blocks(fp: Column, n: int) -> list[Column]:
+    width = 64 // n
+    return [F.shiftrightunsigned(fp, k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(n)]
+
+
+def _near_values(n: int, radius: int) -> Column:
+    """Masks of the block values that differ in at most radius // n bits: one literal, as thousands would burden the planner."""
+    width = 64 // n
+    masks = [sum(1 << b for b in bits) for r in range(radius // n + 1) for bits in combinations(range(width), r)]
+    return F.transform(F.split(F.lit(" ".join(map(str, masks))), " "), lambda x: x.cast("long"))
 
 
 def contaminated(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    shingle: int = 5, threshold: float = 0.8, radius: int = 23, broadcast_rows: int = 1_000_000,
+    shingle: int = 5, threshold: float = 0.8, radius: int = 19, blocks: int = 4, broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(P + id, P + t: xxhash64 of the text, item_id, start_word, n_item_words, similarity): the best window of each contaminated (text, item)."""
-    spark = docs.sparkSession
 
     def small(df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= broadcast_rows else df
 
-    item_words = F.size(_word_hashes(F.col(item_text_col)))
-    base = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"), F.least(item_words, F.lit(shingle)).alias("k")).filter("k > 0")
-    of_size = [base.filter(F.col("k") == k).select("item", "k", _shingles(F.col("text"), k).alias("s")) for k in range(1, shingle + 1)]
+    item_text = named(item_text_col)
+    base = items.select(named(item_col).alias("item"), F.xxhash64(item_text).alias("it"), item_text.alias("text"), F.least(F.size(_word_hashes(item_text)), F.lit(shingle)).alias("k")).filter("k > 0")
+    of_size = [base.filter(F.col("k") == k).select("item", "it", "k", _shingles(F.col("text"), k).alias("s")) for k in range(1, shingle + 1)]
     rows = of_size[0]
     for more in of_size[1:]:
         rows = rows.unionByName(more)
     # one row a shingle; equal items under one id are one
-    parts = materialise(rows.distinct().select("item", "k", F.col("s.n").alias("n"), F.size("s.h").alias("m"), F.posexplode("s.h").alias("j", "h")).withColumn("h", F.xxhash64("h", "k")), "item-shingles")
+    parts = materialise(
+        rows.distinct().select("item", "it", "k", F.col("s.n").alias("n"), F.size("s.h").alias("m"), F.posexplode("s.h").alias("j", "h")).withColumn("h", F.xxhash64("h", "k")), "item-shingles"
+    )
     n_parts = parts.count()
     sizes = [r[0] for r in parts.select("k").distinct().collect()]  # at most ``shingle`` values
 
-    own = docs.select(F.col(id_col).alias(P + "id"), F.xxhash64(text_col).alias(P + "t"), F.col(text_col).alias("text"))
+    own = docs.select(named(id_col).alias(P + "id"), F.xxhash64(named(text_col)).alias(P + "t"), named(text_col).alias("text"))
     key = [P + "id", P + "t"]
 
     def exploded(of: DataFrame) -> DataFrame:
@@ -105,65 +112,83 @@ def contaminated(
             out = one if out is None else out.unionByName(one)
         return out
 
-    wanted = parts.select("h").distinct()
-    hits = materialise(exploded(own).join(small(wanted, n_parts), "h", "left_semi").distinct(), "item-hits")
-    placed = hits.join(small(parts.select("item", "n", "m", "j", "h"), n_parts), "h")
+    def matched(left: DataFrame, right: DataFrame, columns: dict[str, str], how: str = "inner") -> DataFrame:
+        """Join on columns that may be null; the right ones are renamed and dropped."""
+        renamed = {r: f"r_{i}" for i, r in enumerate(columns.values())}
+        right = right.withColumnsRenamed(renamed)
+        out = left.join(right, [left[c].eqNullSafe(right[renamed[r]]) for c, r in columns.items()], how)
+        return out if how == "left_semi" else out.drop(*renamed.values())
+
+    # step 1: positions whose shingle an item of the size has
+    of_h = parts.select("h", "n", "m", "k").distinct()
+    hits = materialise(exploded(own).drop("k").join(small(parts.select("h").distinct(), n_parts), "h", "left_semi").distinct(), "item-hits")
+    size = [*key, "n", "m", "k"]
     share = 2 * threshold / (1 + threshold)
     # a text shorter than the item may have fewer shingles than it: then Jaccard asks for threshold times the item's
-    need = F.ceil(F.when(F.col("n_doc") < F.col("n"), F.lit(threshold) * F.col("m")).otherwise(F.lit(share) * F.col("m")) - F.lit(1e-9))
-    enough = placed.groupBy(*key, "item", "m", "n", "n_doc").agg(F.count_distinct("p").alias("hits")).filter(F.col("hits") >= need).drop("hits")
-    same = [placed[c].eqNullSafe(enough[c]) for c in (*key, "item")]
-    kept = materialise(placed.join(enough.select(*key, "item"), same, "left_semi"), "item-places")
-    pair = [*key, "item", "n", "m"]
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("j"), F.col("n_doc") - F.col("n")))
-    aligned = kept.select(*pair, start.cast("int").alias("start"), F.lit(1).alias("aligned"))
-    # matched positions of each pair in order; a window holds enough if the need-th one from its start is inside
-    run = kept.groupBy(*pair, "n_doc").agg(F.sort_array(F.collect_set("p")).alias("at")).filter("n_doc >= n").withColumn("need", need.cast("int")).withColumn("last", (F.col("n_doc") - F.col("n")).cast("int"))
-
-    def laid(p: Column, i: Column) -> Column:
-        end = p + F.col("m") - F.lit(1)
-        reaches = F.coalesce(F.get("at", i + F.col("need") - F.lit(1)) <= end, F.lit(False))
-        before = F.coalesce(F.get("at", i - F.lit(1)) == p - F.lit(1), F.lit(False))
-        return (p < F.col("last")) & reaches & (~before | F.array_contains("at", end))
-
-    at_end = F.when(F.get("at", F.size("at") - F.col("need")) >= F.col("last"), F.array("last")).otherwise(F.array().cast("array<int>"))
-    free = run.select(*pair, F.explode(F.concat(F.filter("at", laid), at_end)).alias("start"), F.lit(0).alias("aligned"))
-    starts = aligned.unionByName(free).groupBy(*pair, "start").agg(F.max("aligned").alias("aligned"))
-    starts = materialise(starts, "item-windows")
-
-    chosen = materialise(starts.select(*key).distinct(), "hit-texts")
-    chosen = small(chosen.withColumnsRenamed({P + "id": "cid", P + "t": "ct"}), chosen.count())
-    again = own.join(chosen, own[P + "id"].eqNullSafe(chosen.cid) & (own[P + "t"] == chosen.ct), "left_semi").distinct()
-    # texts that have a window, shingle by shingle; then the windows that hold each
+    short = F.col("n_doc") < F.col("n")
+    need = F.ceil(F.when(short, F.lit(threshold) * F.col("m")).otherwise(F.lit(share) * F.col("m")) - F.lit(1e-9)).cast("int")
+    placed = hits.join(small(of_h, n_parts), "h").groupBy(*size, "n_doc").agg(F.sort_array(F.collect_set("p")).alias("at"))  # of one text
+    placed = materialise(placed.withColumn("need", need).withColumn("last", (F.col("n_doc") - F.col("n")).cast("int")).filter(F.size("at") >= F.col("need")), "item-places")
+
+    def start_at(p: Column, i: Column) -> Column:
+        reaches = F.coalesce(F.get("at", i + F.col("need") - F.lit(1)) <= p + F.col("m") - F.lit(1), F.lit(False))
+        return F.struct(p.alias("start"), (reaches & (p < F.col("last"))).alias("ok"), F.coalesce(F.get("at", i - F.lit(1)) == p - F.lit(1), F.lit(False)).alias("follows"))
+
+    starts = placed.filter(~short).select(*size, F.explode(F.filter(F.transform("at", start_at), lambda x: x["ok"])).alias("x")).select(*size, "x.start", "x.follows", (F.col("x.start") + F.col("m") - F.lit(1)).alias("end"))
+    ends = placed.select(*key, "n", "k", F.explode("at").alias("p"))
+    going_on = matched(starts.filter("follows"), ends, {**{c: c for c in (*key, "n", "k")}, "end": "p"}, "left_semi")
+    at_end = placed.filter(~short & (F.get("at", F.size("at") - F.col("need")) >= F.col("last"))).select(*size, F.col("last").alias("start"))
+    whole = placed.filter(short).select(*size, F.lit(0).alias("start"))
+    laid = [starts.filter("NOT follows").select(*size, "start"), going_on.select(*size, "start"), at_end, whole]
+    windows = laid[0]
+    for more in laid[1:]:
+        windows = windows.unionByName(more)
+    windows = materialise(windows, "item-windows")
+
+    # step 2: texts that have a window, shingle by shingle; then the windows that hold each
+    chosen = materialise(windows.select(*key).distinct(), "hit-texts")
+    again = matched(own, small(chosen, chosen.count()), {c: c for c in key}, "left_semi").distinct()
     pieces = exploded(again).drop("n_doc")
-    wins = starts.withColumnsRenamed({P + "id": "cid", P + "t": "ct"}).withColumn("wk", F.least("n", F.lit(shingle)))
+    wins = windows.withColumnsRenamed({P + "id": "cid", P + "t": "ct", "k": "wk"})
     inside = (F.col("p") >= F.col("start")) & (F.col("p") < F.col("start") + F.col("m"))
     held = pieces.join(wins, pieces[P + "id"].eqNullSafe(wins.cid) & (pieces[P + "t"] == wins.ct) & (wins.wk == pieces.k) & inside)
-    held = materialise(held.select(*key, "item", "start", "aligned", "n", "m", "h"), "window-shingles")
-    win = [*key, "item", "start", "aligned", "n", "m"]
-    prints = held.groupBy(*win).agg(F.count("*").alias("mw"), *_simhash_sums(F.col("h"))).select(*win, "mw", _simhash(F.col("mw")).alias("fp"))
-    item_prints = parts.groupBy("item").agg(F.count("*").alias("mi"), *_simhash_sums(F.col("h"))).select("item", _simhash(F.col("mi")).alias("item_fp"))
-    blocks = radius + 1
-    right = item_prints.select(F.col("item").alias("i2"), "item_fp", F.explode(_blocks(F.col("item_fp"), blocks)).alias("b")).select("i2", "item_fp", "b.k", "b.v")
-    left = prints.select("*", F.explode(_blocks(F.col("fp"), blocks)).alias("b")).select(*win, "mw", "fp", "b.k", "b.v")
-    near = (
-        left.join(small(right, n_parts * blocks), left.item.eqNullSafe(right.i2) & (left.k == right.k) & (left.v == right.v))
-        .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*win, "mw").distinct()
-    )
-    counts = held.groupBy(*win, "h").agg(F.count("*").alias("a"))
-    item_counts = parts.groupBy(F.col("item").alias("i2"), F.col("h").alias("h2")).agg(F.count("*").alias("b"))
-    common = counts.join(small(item_counts, n_parts), counts.item.eqNullSafe(item_counts.i2) & (counts.h == item_counts.h2)).groupBy(*win).agg(F.sum(F.least("a", "b")).alias("common"))
-    on = [near[c].eqNullSafe(common[c]) for c in win]
-    similarity = F.col("common") / (F.col("mw") + near["m"] - F.col("common"))
-    judged = near.join(common, on).select(*[near[c] for c in win], similarity.alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
-    best = judged.groupBy(*key, "item", "n").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"))).alias("best"))
-    return best.select(*key, F.col("item").alias(item_col), (-F.col("best.back")).cast("long").alias("start_word"), F.col("n").cast("long").alias("n_item_words"), F.col("best.similarity").alias("similarity"))
+    win = [*size, "start"]
+    held = materialise(held.select(*win, "h"), "window-shingles")
+    prints = held.groupBy(*win).agg(F.count("*").alias("mw"), *_simhash_sums()).select(*win, "mw", _simhash("mw").alias("fp"))
+    one = ["item", "it", "n", "k"]
+    item_prints = parts.groupBy(*one).agg(F.count("*").alias("mi"), *_simhash_sums()).select(*one, _simhash("mi").alias("item_fp"))
+
+    # step 3: the items that share a near block with a window of their size
+    def dealt(df: DataFrame, fp: str, value) -> DataFrame:
+        return df.withColumn("b", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(_blocks(F.col(fp), blocks))]))).withColumns({"block": F.col("b.i"), "v": value(F.col("b.v"))}).drop("b")
+
+    near_values = _near_values(blocks, radius)
+    right = dealt(item_prints, "item_fp", lambda v: F.explode(F.transform(near_values, lambda mask: v.bitwiseXOR(mask))))
+    n_items = item_prints.count()
+    masks = sum(1 for r in range(radius // blocks + 1) for _ in combinations(range(64 // blocks), r))
+    met = dealt(prints, "fp", lambda v: v).join(small(right, n_items * blocks * masks), ["n", "k", "block", "v"])
+    near = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*win, "mw", "item", "it").distinct()
+    near = materialise(near, "near-windows")
+
+    # step 4
+    counts = matched(held, near.select(*win), {c: c for c in win}, "left_semi").groupBy(*win, "h").agg(F.count("*").alias("a"))
+    item_counts = parts.groupBy("item", "it", "h").agg(F.count("*").alias("b"))
+    pairs = matched(near.select(*win, "item", "it"), small(item_counts, n_parts), {"item": "item", "it": "it"})
+    common = matched(pairs, counts, {**{c: c for c in win}, "h": "h"}).groupBy(*win, "item", "it").agg(F.sum(F.least("a", "b")).alias("common"))
+    judged = matched(near, common, {c: c for c in (*win, "item", "it")}).withColumn("similarity", F.col("common") / (F.col("mw") + F.col("m") - F.col("common")))
+    judged = judged.filter(F.col("similarity") >= threshold - 1e-9)
+    best = judged.groupBy(*key, "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
+    best = materialise(best, "contaminations")
+    drop_table(parts, hits, placed, windows, chosen, held, near)
+    return best.select(*key, F.col("item").alias(item_col), (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n").cast("long").alias("n_item_words"), F.col("best.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
-    """``docs`` without the contaminated rows, columns as they are."""
-    bad = materialise(contaminated(docs, items, id_col, text_col, broadcast_rows=broadcast_rows, **options).select(P + "id", F.col(P + "t").alias(P + "bt")).distinct(), "contaminated")
-    if bad.count() <= broadcast_rows:
+    """``docs`` without the contaminated rows, columns as they are whatever their names."""
+    found = contaminated(docs, items, id_col, text_col, broadcast_rows=broadcast_rows, **options)
+    bad = found.select(F.col(P + "id").alias("bad_id"), F.col(P + "t").alias("bad_text")).distinct()
+    if found.count() <= broadcast_rows:
         bad = F.broadcast(bad)
-    keyed = docs.withColumn(P + "t", F.xxhash64(text_col))
-    return keyed.join(bad, keyed[id_col].eqNullSafe(bad[P + "id"]) & (keyed[P + "t"] == bad[P + "bt"]), "left_anti").drop(P + "t")
+    keyed = packed(docs, id=named(id_col), t=F.xxhash64(named(text_col)))
+    clean = keyed.join(bad, F.col(P + "id").eqNullSafe(F.col("bad_id")) & (F.col(P + "t") == F.col("bad_text")), "left_anti")
+    return clean.select(*unpacked(clean, docs.columns))

@@ -104,22 +104,29 @@ WITH d AS (
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark
 ), bs AS (
-  SELECT item_id, n, j, array_to_string(ws[j + 1:j + 5], ' ') AS s FROM (SELECT item_id, ws, len(ws) AS n, unnest(range(0, len(ws) - 4)) AS j FROM b WHERE len(ws) >= 5)
+  SELECT item_id, n, array_to_string(ws[j + 1:j + 5], ' ') AS s FROM (SELECT item_id, ws, len(ws) AS n, unnest(range(0, len(ws) - 4)) AS j FROM b WHERE len(ws) >= 5)
 ), ds AS (
   SELECT id, n, p, array_to_string(ws[p + 1:p + 5], ' ') AS s FROM (SELECT id, ws, len(ws) AS n, unnest(range(0, len(ws) - 4)) AS p FROM d WHERE len(ws) >= 5)
-), pair AS (
-  SELECT DISTINCT ds.id, bs.item_id, bs.n, greatest(0, least(ds.p - bs.j, ds.n - bs.n)) AS start FROM ds JOIN bs ON ds.s = bs.s
+), hit AS (
+  SELECT DISTINCT ds.id, bs.item_id, bs.n, ds.n AS n_doc, p FROM ds JOIN bs ON ds.s = bs.s
+), win AS ( -- every window that holds any shingle of the item
+  SELECT DISTINCT id, item_id, n, n_doc, unnest(range(greatest(0, p - n + 5), least(p, greatest(0, n_doc - n)) + 1)) AS start FROM hit
 ), inside AS (
-  SELECT pair.id, item_id, pair.n, start, s, count(*) AS a FROM pair JOIN ds ON ds.id = pair.id AND p >= start AND p < start + pair.n - 4 GROUP BY ALL
-), sizes AS (SELECT id, item_id, n, start, sum(a) AS mw FROM inside GROUP BY ALL),
+  SELECT win.id, item_id, win.n, n_doc, start, s, count(*) AS a FROM win JOIN ds ON ds.id = win.id AND p >= start AND p < start + win.n - 4 GROUP BY ALL
+), sizes AS (SELECT id, item_id, start, sum(a) AS mw FROM inside GROUP BY ALL),
 item AS (SELECT item_id, s, count(*) AS c FROM bs GROUP BY ALL),
 common AS (
-  SELECT id, item_id, n, start, sum(least(a, c)) AS k FROM inside JOIN item USING (item_id, s) GROUP BY ALL
+  SELECT id, item_id, n, n_doc, start, sum(least(a, c)) AS k FROM inside JOIN item USING (item_id, s) GROUP BY ALL
 ), judged AS (
-  SELECT id, item_id, n, start, k / (mw + n - 4 - k) AS sim FROM common JOIN sizes USING (id, item_id, n, start)
-)
-SELECT id AS doc_id, item_id, arg_max(start, (sim, -start))::BIGINT AS start_word, n::BIGINT AS n_item_words, round(max(sim), 6) AS similarity
-FROM judged WHERE sim >= 0.8 - 1e-9 GROUP BY id, item_id, n""",
+  SELECT id, item_id, n, n_doc, start, k / (mw + n - 4 - k) AS sim FROM common JOIN sizes USING (id, item_id, start)
+), best AS (SELECT id, item_id, max(sim) AS sim FROM judged WHERE sim >= 0.8 - 1e-9 GROUP BY ALL),
+has AS (SELECT DISTINCT id, n, p FROM hit) -- shingles that an item of the size has
+SELECT j.id AS doc_id, j.item_id, min(start)::BIGINT AS start_word, j.n::BIGINT AS n_item_words, round(any_value(j.sim), 6) AS similarity
+FROM judged j JOIN best ON best.id = j.id AND best.item_id = j.item_id AND best.sim = j.sim
+LEFT JOIN has x ON x.id = j.id AND x.n = j.n AND x.p = start LEFT JOIN has y ON y.id = j.id AND y.n = j.n AND y.p = start - 1
+LEFT JOIN has z ON z.id = j.id AND z.n = j.n AND z.p = start + j.n - 5
+WHERE start >= n_doc - j.n OR (x.p IS NOT NULL AND (y.p IS NULL OR z.p IS NOT NULL))
+GROUP BY j.id, j.item_id, j.n""",
     "op6_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents
