@@ -4,19 +4,24 @@ Words are grouped in classes by exchange clustering; a text's probability is the
 probability and the word's emission probability in its class, both smoothed. The text's end is a token of its own class, and every
 text starts after an end.
 
-Clustering works on ``types``: the most frequent words, each its own type, and for all other words their last three bytes (the most
-frequent endings; one type for the rest). So every word, known or not, has a type and through it a class, and the driver holds a matrix of
-``types`` squared counts, 4 MB, however large the corpus. Exchange moves a type to the class that raises the likelihood of the class
-bigrams most, in rounds over all types until none moves or ``rounds`` are done.
+Every word of the training texts is assigned by exchange. The ``core``, the most frequent words, is clustered first, on its own bigram
+counts: exchange moves a word to the class that raises the likelihood of the class bigrams most, in rounds over all words until none moves
+or ``rounds`` are done. Then every other word is given, in the cluster, the class of the greatest exchange gain against those class
+bigrams: from how often it stands after and before each class (of core words and ends), summed per word. A word that never stands
+beside one takes the class that most words seen once took, and so does a word not seen in training.
 
 transition(d | c) = (n(c, d) + m * n(d) / N) / (n(c) + m); emission(w | c) = (n(w) + k) / (n(c) + k (v(c) + 1)), v(c) the class's distinct
-words, with one unknown word in every class. Counts are of all training texts.
+words, with one unknown word in every class. Counts are of all training texts and all words.
 
-Passes over the texts: count words and endings; count type bigrams; score. The third knows the counts of the ``head`` most frequent words
-(a broadcast of at most 16 bytes each); the other words' hashes travel to the table of all counts and their sums come back by row. That join has
-the words on both sides as 64-bit hashes; common words are never in it.
+Passes over the texts: count words; count core bigrams; collect the other words' neighbours; score. The driver holds the core's bigrams
+(``core`` squared, 8 MB), the class bigrams and the ``head`` most frequent words with their counts and classes (17 bytes each, broadcast for
+scoring), however large the corpus. The other words of a text travel to the table of all words and their counts and classes come back
+by row. Common words never do. Words are 64-bit hashes (exact ones of short words are mixed, see ``common.word_hashes``).
 
-Defined cases: a null text counts as empty: one token, the end. Equal rows are scored alike, each a row of its own. A null id is never held out. With nothing to learn from, all counts are 0. An empty table gives an empty result. Only the named columns are read.
+Of equally frequent words at the end of core or head those of the smallest hashes are in, about as many as there is room for.
+
+Defined cases: a null text counts as empty: one token, the end. Equal rows are scored alike, each a row of its own. A null id is never
+held out. With nothing to learn from, all counts are 0. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -25,26 +30,42 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import P, crc_mod, lower_ascii, materialise, utf8, word_bounds, word_hashes
+from lakeseek.llm.common import P, crc_mod, drop_table, lower_ascii, materialise, named, utf8, word_bounds, word_hashes
 
-END = 0  # the type of a text's end
+END = 0  # the class and core number of a text's end
+BATCH = 1000  # texts
 
 
-def _tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and the words' last three bytes as one number, of all texts, and the texts' offsets."""
+def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts, and the texts' offsets."""
     raw, off = utf8(column)
     raw = lower_ascii(raw)
     starts, ends, offs = word_bounds(raw, off)
-    words = word_hashes(raw, starts, ends)
-    last = np.zeros(len(words), np.int32)
-    for k in range(3):
-        at = ends - 1 - k
-        last |= np.where(at >= starts, raw[np.maximum(at, 0)], 0).astype(np.int32) << (8 * k)
-    return words, last, offs
+    return word_hashes(raw, starts, ends), offs
+
+
+class Words:
+    """Sorted hashes and a value of each; others have ``absent``."""
+
+    def __init__(self, hashes: np.ndarray, *values: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], [v[order] for v in values]
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Places in the sorted hashes, -1 for words that aren't there."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        at = np.searchsorted(self.hashes, words)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == words, at, -1)
+
+    def value(self, words: np.ndarray, which: int = 0, absent: int = -1) -> np.ndarray:
+        at = self.find(words)
+        return np.where(at >= 0, self.values[which][at], absent) if len(self.hashes) else np.full(len(words), absent)
 
 
 def count_words(train: DataFrame, flush: int = 1_500_000) -> DataFrame:
-    """(h, e, n) of every word: hash, ending, count. Each task adds up its own words, about ``flush`` entries at a time."""
+    """(h, n) of every word: hash and count. Each task adds up its own words, about ``flush`` entries at a time."""
 
     def run(batches):
         import pyarrow as pa
@@ -53,45 +74,49 @@ def count_words(train: DataFrame, flush: int = 1_500_000) -> DataFrame:
         size = 0
 
         def emit():
-            h, e, n = (np.concatenate([x[i] for x in held]) for i in range(3))
-            u, first, at = np.unique(h, return_index=True, return_inverse=True)
-            return pa.record_batch({"h": u.view(np.int64), "e": e[first], "n": np.bincount(at, n, len(u)).astype(np.int64)})
+            h, n = (np.concatenate([x[i] for x in held]) for i in range(2))
+            u, at = np.unique(h, return_inverse=True)
+            return pa.record_batch({"h": u.view(np.int64), "n": np.bincount(at, n, len(u)).astype(np.int64)})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                words, last, _ = _tokens(batch.column(P + "t").slice(at, 1000))
-                u, first, n = np.unique(words, return_index=True, return_counts=True)
-                held.append((u, last[first], n))
-                size += len(u)
+            for at in range(0, batch.num_rows, BATCH):
+                held.append(np.unique(_tokens(batch.column(P + "t").slice(at, BATCH))[0], return_counts=True))
+                size += len(held[-1][0])
                 if size > flush:
                     yield emit()
                     held, size = [], 0
         if held:
             yield emit()
 
-    parts = train.select(P + "t").mapInArrow(run, "h bigint, e int, n bigint")
-    return parts.groupBy("h", "e").agg(F.sum("n").alias("n"))
+    return train.select(P + "t").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _frequent(counted: DataFrame, distinct: int, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, counts and endings of the most frequent words, ``head`` at most, the most frequent first.
+def most_frequent(words: DataFrame, room: int, *more: str) -> dict[str, np.ndarray]:
+    """Columns h, n and ``more`` of the most frequent words, the most frequent first, about ``room`` of them.
 
-    The least count that leaves few enough words comes from a histogram over steps of a sixteenth of a doubling, so only the words
-    themselves are brought together, not each task's candidates.
+    The least count comes from histograms, over steps of a sixteenth of a doubling and then over the counts of one step, so only the
+    words themselves are brought together. Of the words with the last count a share is taken by their hash.
     """
     step = F.floor(F.log2("n") * 16).cast("int")
-    if distinct > head:
-        over, least = 0, None
-        for r in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred rows
-            over += r[1]
-            if over > head:
-                break
-            least = r[0]
-        counted = counted.filter(step >= least) if least is not None else counted.limit(0)
-    rows = counted.select("h", "n", "e").toArrow()
-    h, n, e = (np.asarray(rows[c]) for c in ("h", "n", "e"))
-    order = np.lexsort((h, -n))
-    return h[order].view(np.uint64), n[order], e[order]
+
+    def crossing(rows, left: int):
+        for value, count in sorted(((r[0], r[1]) for r in rows), reverse=True):
+            if count > left:
+                return value, left, count
+            left -= count
+        return None
+
+    chosen = words
+    by_step = crossing(words.groupBy(step.alias("step")).count().collect(), room)  # some hundred rows
+    if by_step:
+        inside = words.filter(step == by_step[0]).groupBy("n").count().collect()  # the counts within a sixteenth of a doubling
+        least, left, tied = crossing(inside, by_step[1])
+        share = int(left / tied * (1 << 32))
+        chosen = words.filter((F.col("n") > least) | ((F.col("n") == least) & (F.shiftrightunsigned(F.xxhash64("h"), 32) < share)))
+    rows = chosen.select("h", "n", *more).toArrow()
+    out = {c: np.asarray(rows[c]) for c in ("h", "n", *more)}
+    order = np.lexsort((out["h"], -out["n"]))
+    return {c: v[order] for c, v in out.items()}
 
 
 def exchange(counts: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
@@ -148,41 +173,25 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     return of
 
 
-class _Types:
-    """Maps word and ending hashes to types: 0 the end, then words, then endings, then the rest."""
-
-    def __init__(self, words: np.ndarray, endings: np.ndarray):
-        self.words, self.endings = np.sort(words), np.sort(endings)
-        self.size = 2 + len(words) + len(endings)
-
-    def of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
-        out = np.full(len(words), self.size - 1)
-        for known, values, first in ((self.endings, endings, 1 + len(self.words)), (self.words, words, 1)):
-            if len(known):
-                at = np.searchsorted(known, values)
-                at[at == len(known)] = 0
-                hit = known[at] == values
-                out[hit] = first + at[hit]
-        return out
+def _with_ends(line: np.ndarray, offs: np.ndarray, end: int = END) -> np.ndarray:
+    """The texts' tokens with an end after each text."""
+    return np.insert(line, offs[1:], end)
 
 
-def _with_ends(types: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The texts' types with an end after each text."""
-    return np.insert(types, offs[1:], END)
-
-
-def _bigrams(train: DataFrame, types: _Types) -> np.ndarray:
-    size = types.size
+def core_bigrams(train: DataFrame, core: Words, size: int) -> np.ndarray:
+    """Counts of core numbers (size, size) that follow one another, others left out."""
 
     def run(batches):
         import pyarrow as pa
 
         own = np.zeros(size * size, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                words, last, offs = _tokens(batch.column(P + "t").slice(at, 1000))
-                line = _with_ends(types.of(words, last), offs)
-                own += np.bincount(np.concatenate([[END], line[:-1]]) * size + line, minlength=size * size)
+            for at in range(0, batch.num_rows, BATCH):
+                words, offs = _tokens(batch.column(P + "t").slice(at, BATCH))
+                line = _with_ends(core.value(words), offs)
+                before = np.concatenate([[END], line[:-1]])
+                both = (line >= 0) & (before >= 0)
+                own += np.bincount(before[both] * size + line[both], minlength=size * size)
         some = np.flatnonzero(own)
         for at in range(0, len(some), 100_000):
             part = some[at : at + 100_000]
@@ -194,95 +203,208 @@ def _bigrams(train: DataFrame, types: _Types) -> np.ndarray:
     return out.reshape(size, size)
 
 
+def neighbours(train: DataFrame, classes_of: Words, classes: int, flush: int = 3_000_000) -> DataFrame:
+    """(h, cell, g, n) of the words without a class in ``classes_of``.
+
+    cell: after a class c: c; before one: classes + c; after and before another such word: 2 * classes and one more. Rows of cell -1
+    are pairs of such words, h before g.
+    """
+    width = 2 * classes + 2
+
+    def run(batches):
+        import pyarrow as pa
+
+        cells: list = []
+        pairs: list = []
+        size = 0
+
+        def emit():
+            h, cell = (np.concatenate([x[i] for x in cells]) for i in range(2))
+            u, at = np.unique(h, return_inverse=True)
+            key, n = np.unique(at * width + cell, return_counts=True)
+            a, b = (np.concatenate([x[i] for x in pairs]) for i in range(2))
+            table = {
+                "h": np.concatenate([u[key // width], a]).view(np.int64), "cell": np.concatenate([key % width, np.full(len(a), -1)]).astype(np.int16),
+                "g": np.concatenate([np.zeros(len(key), np.uint64), b]).view(np.int64), "n": np.concatenate([n, np.ones(len(a), np.int64)]),
+            }
+            return pa.record_batch(table)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                words, offs = _tokens(batch.column(P + "t").slice(at, BATCH))
+                line = _with_ends(classes_of.value(words), offs)
+                hashes = np.insert(words, offs[1:], 0)
+                own = np.flatnonzero(line < 0)  # never the last token, which is an end
+                before = np.concatenate([[END], line[:-1]])[own]
+                after = line[own + 1]
+                cells.append((hashes[own], np.where(before < 0, 2 * classes, before)))
+                cells.append((hashes[own], np.where(after < 0, 2 * classes + 1, classes + after)))
+                first = own[after < 0]
+                pairs.append((hashes[first], hashes[first + 1]))
+                size += 2 * len(own)
+                if size > flush:
+                    yield emit()
+                    cells, pairs, size = [], [], 0
+        if size:
+            yield emit()
+
+    return train.select(P + "t").mapInArrow(run, "h bigint, cell smallint, g bigint, n bigint")
+
+
+def gains(table: np.ndarray) -> np.ndarray:
+    """Of each cell (rows; those beside words without a class 0) the gain in likelihood that one count of it gives each class, from the class bigrams."""
+    smooth = table + 0.1
+    ratio = np.log(smooth) - np.log(smooth.sum(1))[:, None] - np.log(smooth.sum(0))[None, :]
+    out = np.zeros((2 * len(table) + 2, len(table)))
+    out[: len(table)] = ratio  # after class c
+    out[len(table) : -2] = ratio.T
+    out[:, END] = 0  # no word's class
+    return out
+
+
+def assign(cells: DataFrame, table: np.ndarray) -> DataFrame:
+    """(h, n, class) of the words of ``cells`` (h, cell, n): class of the greatest gain, of equal ones the lowest; -1 if never beside a class."""
+    classes = len(table)
+    gain = gains(table)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            seen = batch.column("v")
+            flat = seen.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(seen.offsets)))
+            cell, n = np.asarray(flat.field("cell")).astype(np.int64), np.asarray(flat.field("n")).astype(float)
+            size = 2 * classes + 2
+            counts = np.bincount(row * size + cell, n, batch.num_rows * size).reshape(-1, size)
+            won = 1 + (counts @ gain)[:, 1:].argmax(1)
+            won[counts[:, :-2].sum(1) == 0] = -1
+            total = counts[:, :classes].sum(1) + counts[:, 2 * classes]  # a word follows something each time
+            yield pa.record_batch({"h": batch.column("h"), "n": total.astype(np.int64), "class": won.astype(np.int16)})
+
+    vectors = cells.groupBy("h", "cell").agg(F.sum("n").alias("n")).groupBy("h").agg(F.collect_list(F.struct("cell", "n")).alias("v"))  # as many as cells at most
+    return vectors.mapInArrow(run, "h bigint, n bigint, class smallint")
+
+
 def class_lm(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, word_types: int = 700, ending_types: int = 322, classes: int = 64, head: int = 200_000,
-    k: float = 0.1, m: float = 5.0,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, core: int = 1000, classes: int = 64, head: int = 200_000, k: float = 0.1, m: float = 5.0,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    sc = docs.sparkSession.sparkContext
     held_out = F.coalesce(crc_mod(id_col, fold) == 0, F.lit(False))
-    rows = docs.select(F.col(id_col).alias(P + "id"), held_out.alias("held_out"), F.col(text_col).alias(P + "t"))
+    rows = docs.select(named(id_col).alias(P + "id"), held_out.alias("held_out"), named(text_col).alias(P + "t"))
     train = rows.filter("NOT held_out")
     counted = materialise(count_words(train), "word-counts")
-    vocabulary = counted.select("h", "n")
     n_texts = train.count()
-    sums = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sums = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # the end is one more known token, once a text
     distinct, total = sums[0] + (n_texts > 0), sums[1] + n_texts
-    hashes, amounts, tails = _frequent(counted, sums[0], head)
-    common = counted.groupBy("e").agg(F.sum("n").alias("n"), F.count("*").alias("words")).orderBy(F.desc("n"), "e").limit(ending_types).toArrow()
-    endings = np.asarray(common["e"])
-    types = _Types(hashes[:word_types], endings)
-    between = _bigrams(train, types)
+    common = most_frequent(counted, core)
+    core_hashes = common["h"].view(np.uint64)
+    size = len(core_hashes) + 1
+    between = core_bigrams(train, Words(core_hashes, np.arange(1, size)), size)
     of = exchange(between, classes)
-    # class counts; distinct words of a class: words that are types by themselves, and the others by their endings' share below
-    onehot = np.zeros((types.size, classes))
-    onehot[np.arange(types.size), of] = 1
+    onehot = np.zeros((size, classes))
+    onehot[np.arange(size), of] = 1
     bigram = onehot.T @ between @ onehot
+
+    # all other words
+    around = materialise(neighbours(train, Words(core_hashes, of[1:]), classes), "word-neighbours")
+    assigned = materialise(assign(around.filter("cell >= 0"), bigram), "word-classes")
+    taken = assigned.filter("n = 1 AND class >= 0").groupBy("class").count().collect()
+    unknown = min(taken, key=lambda r: (-r[1], r[0]))[0] if taken else int(of[1:].min()) if size > 1 else min(1, classes - 1)
+    known = docs.sparkSession.createDataFrame([(int(h), int(n), int(c)) for h, n, c in zip(common["h"], common["n"], of[1:])], "h bigint, n bigint, class smallint")
+    lexicon = assigned.withColumn("class", F.when(F.col("class") < 0, F.lit(unknown)).otherwise(F.col("class")).cast("smallint")).unionByName(known)
+    lexicon = materialise(lexicon, "lexicon")
+    # class bigrams with them: beside the core's, and among themselves
+    other = assigned.select("h", F.when(F.col("class") < 0, F.lit(unknown)).otherwise(F.col("class")).alias("class"))
+    beside = around.filter((F.col("cell") >= 0) & (F.col("cell") < 2 * classes)).join(other, "h").groupBy("cell", "class").agg(F.sum("n").alias("n")).collect()
+    for cell, c, n in beside:
+        if cell < classes:
+            bigram[cell, c] += n
+        else:
+            bigram[c, cell - classes] += n
+    pairs = around.filter("cell = -1").select("h", "g", "n").join(other.withColumnRenamed("class", "first"), "h")
+    pairs = pairs.join(other.withColumnsRenamed({"h": "g", "class": "second"}), "g").groupBy("first", "second").agg(F.sum("n").alias("n"))
+    for first, second, n in pairs.collect():  # as many as classes squared
+        bigram[first, second] += n
+    distinct_words = np.zeros(classes)
+    for c, n in lexicon.groupBy("class").count().collect():
+        distinct_words[c] = n
+    distinct_words[END] = n_texts > 0
     after, before = bigram.sum(0), bigram.sum(1)
-    grand = max(1.0, after.sum())
-    step = np.log10((bigram + m * (after / grand)[None, :] + 1e-12) / (before[:, None] + m))
-    order = np.argsort(hashes)
-    sc = docs.sparkSession.sparkContext
-    known = sc.broadcast((types.words, types.endings, of, hashes[order], amounts[order], step))  # bounded by head and types
-    base_unit = total + k * (distinct + 1)
-    # distinct words of each class: its own words, and those of its endings that aren't types by themselves
-    own_types = types.of(np.zeros(len(tails[:word_types]), np.uint64), tails[:word_types])
-    words_of = np.zeros(types.size)
-    words_of[types.of(np.zeros(len(endings), np.uint64), endings)] = np.asarray(common["words"])
-    words_of[-1] = sums[0] - words_of.sum()
-    np.subtract.at(words_of, own_types, 1)
-    words_of[: 1 + len(types.words)] = 1
-    share = np.bincount(of, words_of, classes)
-    unit = after + k * (share + 1)
-    log_unit = np.log10(np.maximum(unit, 1e-12))
-    log_base = float(np.log10(max(base_unit, 1e-12)))
-    end = (float(n_texts), np.log10(n_texts + k))
-    units = sc.broadcast(log_unit)
+    step = np.log10((bigram + m * (after / max(1.0, after.sum()))[None, :] + 1e-12) / (before[:, None] + m))
+    unit = np.log10(np.maximum(after + k * (distinct_words + 1), 1e-12))
+    log_base = float(np.log10(max(total + k * (distinct + 1), 1e-12)))
+    best = most_frequent(lexicon, head, "class")
+    shared = sc.broadcast((Words(best["h"].view(np.uint64), best["class"].astype(np.int64), best["n"].astype(float)), step, unit))  # bounded by head and classes
+    end = float(n_texts)
     id_type = docs.schema[id_col].dataType.simpleString()
+    drop_table(around, assigned, counted)
 
     def score(batches):
         import pyarrow as pa
 
-        words_, endings_, of_, head_h, head_n, step_ = known.value
-        own = _Types(words_, endings_)
-        unit_ = units.value
+        frequent, step_, unit_ = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                words, last, offs = _tokens(part.column(P + "t"))
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                words, offs = _tokens(part.column(P + "t"))
                 n = len(offs) - 1
-                line = of_[_with_ends(own.of(words, last), offs)]
+                place = frequent.find(words)
+                hit = place >= 0
+                inner = np.where(hit, frequent.values[0][place], -1) if len(frequent.hashes) else place
+                line = _with_ends(inner, offs)
+                before = np.concatenate([[END], line[:-1]])
                 owner = np.repeat(np.arange(n), np.diff(offs) + 1)
-                is_end = np.zeros(len(line), bool)
-                is_end[offs[1:] + np.arange(n)] = True
-                move = step_[np.concatenate([[of_[END]], line[:-1]]), line] - unit_[line]
-                there = np.searchsorted(head_h, words)
-                there[there == len(head_h)] = 0
-                hit = head_h[there] == words if len(head_h) else np.zeros(len(words), bool)
-                value = np.zeros(len(line))
-                value[is_end] = end[1]
-                inner = np.zeros(len(words))
-                inner[hit] = np.log10(head_n[there[hit]] + k)
-                value[~is_end] = inner
-                common = np.bincount(owner, value, n)
+                own = line >= 0
+                known_move = own & (before >= 0)
+                move = np.where(known_move, step_[before, line], 0.0) - np.where(own, unit_[line], 0.0)
+                value = np.zeros(len(words))
+                if hit.any():
+                    value[hit] = np.log10(frequent.values[1][place[hit]] + k)
+                value = _with_ends(value, offs, np.log10(end + k))
                 doc = np.repeat(np.arange(n), np.diff(offs))
-                seen = np.bincount(doc[hit], minlength=n) + (end[0] > 0)
-                tail, tail_doc = words[~hit], doc[~hit]
-                edges = np.searchsorted(tail_doc, np.arange(n + 1))
-                rest = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(tail.view(np.int64)))
+                tail = np.flatnonzero(~own)
+                edges = np.searchsorted(owner[tail], np.arange(n + 1)).astype(np.int32)
+                rest = pa.StructArray.from_arrays(
+                    [pa.array(np.insert(words, offs[1:], 0)[tail].view(np.int64)), pa.array(tail.astype(np.int32)), pa.array(before[tail].astype(np.int16)), pa.array(line[tail + 1].astype(np.int16))],
+                    ["h", "at", "before", "after"],
+                )
                 yield pa.record_batch({
-                    P + "id": part.column(P + "id"), "held_out": part.column("held_out"), "n_tokens": (np.diff(offs) + 1).astype(np.int64), "seen": seen.astype(np.int64),
-                    "common": common, "moves": np.bincount(owner, move, n), "rest": rest,
+                    P + "id": part.column(P + "id"), "held_out": part.column("held_out"), "n_tokens": (np.diff(offs) + 1).astype(np.int64),
+                    "seen": (np.bincount(doc[hit], minlength=n) + (end > 0)).astype(np.int64), "common": np.bincount(owner, value, n), "moves": np.bincount(owner, move, n),
+                    "rest": pa.ListArray.from_arrays(pa.array(edges), rest),
                 })
 
-    kinds = f"`{P}id` {id_type}, held_out boolean, n_tokens bigint, seen bigint, common double, moves double, rest array<bigint>"
+    kinds = f"`{P}id` {id_type}, held_out boolean, n_tokens bigint, seen bigint, common double, moves double, rest array<struct<h:bigint,at:int,before:smallint,after:smallint>>"
     scored = materialise(rows.mapInArrow(score, kinds).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    tail = scored.select("row", F.explode("rest").alias("h"))
-    found = tail.join(vocabulary.withColumnRenamed("n", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = found.groupBy("row").agg(F.sum(F.log10(F.col("c") + F.lit(k))).alias("more"), F.count_if(F.col("c") > 0).alias("more_seen"))
+    tail = scored.select("row", F.explode("rest").alias("x")).select("row", "x.h", "x.at", "x.before", "x.after")
+    found = tail.join(lexicon, "h", "left").select("row", "at", "before", "after", F.coalesce("n", F.lit(0)).alias("c"), F.coalesce("class", F.lit(unknown)).cast("smallint").alias("d"))
+    by_row = found.groupBy("row").agg(F.collect_list(F.struct("at", "before", "after", "c", "d")).alias("x"))  # the rare words of one text
+
+    def finish(batches):
+        import pyarrow as pa
+
+        _, step_, unit_ = shared.value
+        for batch in batches:
+            seen = batch.column("x")
+            flat = seen.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(seen.offsets)))
+            at, before, after, c, d = (np.asarray(flat.field(f)).astype(np.int64) for f in ("at", "before", "after", "c", "d"))
+            order = np.lexsort((at, row))
+            row, at, before, after, c, d = (x[order] for x in (row, at, before, after, c, d))
+            # a rare word after a rare word: the row before is that one
+            before[1:] = np.where(before[1:] < 0, d[:-1], before[1:])
+            move = step_[before, d] - unit_[d] + np.where(after >= 0, step_[d, after], 0.0)
+            value = np.log10(c + k)
+            n = batch.num_rows
+            yield pa.record_batch({"row": batch.column("row"), "more": np.bincount(row, value, n), "more_moves": np.bincount(row, move, n), "more_seen": np.bincount(row[c > 0], minlength=n).astype(np.int64)})
+
+    sums = by_row.mapInArrow(finish, "row bigint, more double, more_moves double, more_seen bigint")
     out = scored.drop("rest").join(sums, "row", "left")
     emitted = F.col("common") + F.coalesce("more", F.lit(0.0))
     return out.select(
         F.col(P + "id").alias(id_col), "held_out", "n_tokens", (F.col("seen") + F.coalesce("more_seen", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (emitted - F.col("n_tokens") * F.lit(log_base)).alias("base_score"), (emitted + F.col("moves")).alias("score"),
+        (emitted - F.col("n_tokens") * F.lit(log_base)).alias("base_score"), (emitted + F.col("moves") + F.coalesce("more_moves", F.lit(0.0))).alias("score"),
     )
