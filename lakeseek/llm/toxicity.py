@@ -1,12 +1,13 @@
 """Toxicity: a counterfactually regularised classifier.
 
-A logistic model over the presence of letter words (lower-cased). Learning takes at most ``max_labels`` labelled documents, those of
-the smallest hash of the id (a documented bound), whole; the driver gets their distinct words as 64-bit hashes. The ``features`` words
-whose log-odds between toxic and other documents are surest are kept, and all identity terms. For every sentence of a labelled
-document that mentions a group, the term is swapped for each other term of its kind, and the squared change of the score's logit is a
-penalty: what a text says counts, not which group it names. Fitting is gradient descent on the log-loss, an L2 term and this penalty.
+A logistic model over the presence of letter words (lower-cased). Learning takes at most ``max_labels`` labelled rows, those of the smallest
+hash (a documented bound; equal rows count once), whole. Words that stand in ``least_docs`` of them and whose log-odds between toxic and other
+documents are ``sure`` standard errors from even are features, however many, and all identity terms are; that is counted in the cluster.
+For every sentence of a labelled document that mentions a group, the term is swapped for each other term of its kind, and the squared
+change of the score's logit is a penalty: what a text says counts, not which group it names. Fitting is gradient descent on the log-loss, an L2
+term and this penalty. The driver gets the features and, of each learning row, which of them it has.
 
-Scoring looks up each text's words in the broadcast weights (``features`` + identity terms, a few thousand numbers).
+Scoring looks up each text's words in the broadcast weights.
 
 Defined cases: a null or wordless text has the score of the intercept. Repeated labels of a document count as toxic if any does; null
 labels teach nothing. If only one class can be learned, every score is that class's smoothed share. Repeated rows are rows of their
@@ -16,12 +17,13 @@ own. Empty tables give empty results. Only the named columns are read; language,
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import P, crc_mod
+from lakeseek.llm.common import P, crc_mod, drop_table, materialise, named
 
 # Identity terms by kind; terms of one kind and language can stand for one another.
 IDENTITY = [
@@ -56,28 +58,51 @@ def _key(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode()) - (1 << 63)
 
 
-def _samples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: int, left_out: int, max_labels: int):
-    """Rows (toxic, distinct word hashes, identity terms by sentence) of the learning documents, max_labels at most."""
-    learnable = labels.filter(F.coalesce(crc_mod(id_col, fold) != left_out, F.lit(False)) & F.col(label_col).isNotNull())
-    chosen = learnable.groupBy(F.col(id_col).alias(P + "id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64(P + "id"), P + "id").limit(max_labels)
-    rows = docs.select(F.col(id_col).alias(P + "d"), F.col(text_col).alias(P + "t")).join(F.broadcast(chosen), F.col(P + "d") == F.col(P + "id"))
+def _least_hashes(rows: DataFrame, limit: int, *columns: str) -> DataFrame:
+    """The ``limit`` rows of the smallest hash. Of many only about twice as many, by their hash, need to meet in one task."""
+    at = F.shiftrightunsigned(F.xxhash64(*columns), 1)
+    n = rows.count()
+    if n > 2 * limit + 100:
+        rows = rows.filter(at <= F.lit(int((2.0 * limit + 100) / n * float(1 << 63))))
+    return rows.orderBy(at, *columns).limit(limit)
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: int, left_out: int, max_labels: int) -> DataFrame:
+    """(toxic, seen: distinct word hashes, named: identity terms by sentence) of the learning rows."""
+    learnable = labels.filter(F.coalesce(crc_mod(id_col, fold) != left_out, F.lit(False)) & named(label_col).isNotNull())
+    marked = learnable.groupBy(named(id_col).alias("li")).agg(F.max((named(label_col) > 0).cast("int")).alias("toxic"))
+    marked = _least_hashes(marked.select("li", "toxic"), max_labels, "li")
+    texts = docs.select(named(id_col).alias("i"), F.xxhash64(named(text_col)).alias("h"), named(text_col).alias("t")).join(F.broadcast(marked), F.col("i") == F.col("li")).drop("li")
+    chosen = materialise(_least_hashes(texts.select("i", "h").distinct(), max_labels, "i", "h").withColumnsRenamed({"i": "ci", "h": "ch"}), "labelled-rows")
+    texts = texts.join(F.broadcast(chosen), (F.col("i") == F.col("ci")) & (F.col("h") == F.col("ch")), "left_semi").groupBy("i", "h").agg(F.first("t").alias("t"), F.first("toxic").alias("toxic"))
     terms = {t for kind in IDENTITY for t in kind}
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            toxic, seen, named = [], [], []
-            for text, label in zip(batch.column(P + "t").to_pylist(), batch.column("toxic").to_pylist()):
+            seen, named_terms = [], []
+            for text in batch.column("t").to_pylist():
                 own = set(words(text or ""))
-                toxic.append(int(label > 0))
                 seen.append([_key(w) for w in own])
-                hit = [t for s in _SENTENCE.split(text) for t in set(words(s)) & terms] if own & terms else []
-                named.append(hit)
-            yield pa.record_batch([pa.array(toxic, pa.int32()), pa.array(seen, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))], ["toxic", "seen", "named"])
+                named_terms.append([t for s in _SENTENCE.split(text) for t in set(words(s)) & terms] if own & terms else [])
+            yield pa.record_batch([batch.column("toxic"), pa.array(seen, pa.list_(pa.int64())), pa.array(named_terms, pa.list_(pa.string()))], ["toxic", "seen", "named"])
+
+    return materialise(texts.select("t", "toxic").mapInArrow(run, "toxic int, seen array<bigint>, named array<string>"), "labelled-words")
+
+
+def identity_keys() -> list[int]:
+    return sorted({_key(t) for kind in IDENTITY for t in kind})
+
 
-    return rows.select(P + "t", "toxic").repartition(64).mapInArrow(run, "toxic int, seen array<bigint>, named array<string>").toArrow()
+def sure_words(rows: DataFrame, n: int, toxic: int, least_docs: int, sure: float) -> DataFrame:
+    """(w) whose log-odds are sure."""
+    counted = rows.select("toxic", F.explode("seen").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).filter(F.col("n") >= least_docs)
+    half = F.lit(0.5)
+    cells = [F.col("bad") + half, F.lit(toxic) - F.col("bad") + half, F.col("n") - F.col("bad") + half, F.lit(n - toxic) - F.col("n") + F.col("bad") + half]
+    odds = F.log(cells[0]) - F.log(cells[1]) - F.log(cells[2]) + F.log(cells[3])
+    spread = F.sqrt(sum((1 / c for c in cells[1:]), 1 / cells[0]))
+    return counted.filter(F.abs(odds) >= F.lit(sure) * spread).select("w")
 
 
 class Model:
@@ -87,52 +112,33 @@ class Model:
         self.keys, self.weights, self.intercept = keys, weights, intercept
 
 
-def fit(toxic: np.ndarray, docs: list[np.ndarray], named: list[str], features: int = 512, least_docs: int = 3, sure: float = 3.0, l2: float = 1e-4, swap: float = 1.0, steps: int = 400) -> Model:
-    """``named``: the identity terms of all sentences of labelled documents."""
+def fit(toxic: np.ndarray, docs: list[np.ndarray], named: list[str], keys: np.ndarray, l2: float = 1e-4, swap: float = 1.0, steps: int = 400) -> Model:
+    """``docs``: each row's features, of ``keys``; ``named``: the identity terms of all sentences of labelled documents."""
     n, n1 = len(toxic), int(toxic.sum())
-    identity = sorted({_key(t) for kind in IDENTITY for t in kind})
+    keys = np.unique(np.concatenate([np.asarray(keys, np.int64), np.array(identity_keys(), np.int64)]))
     if n1 == 0 or n1 == n:
         p = (n1 + 1) / (n + 2)
-        return Model(np.array(identity, np.int64), np.zeros(len(identity)), float(np.log(p / (1 - p))))
+        return Model(keys, np.zeros(len(keys)), float(np.log(p / (1 - p))))
     owner = np.repeat(np.arange(n), [len(d) for d in docs])
     flat = np.concatenate(docs)
-    vocabulary, at = np.unique(flat, return_inverse=True)
-    with_ = np.bincount(at, minlength=len(vocabulary))
-    bad = np.bincount(at[toxic[owner] == 1], minlength=len(vocabulary))
-    good = with_ - bad
-    odds = np.log((bad + 0.5) / (n1 - bad + 0.5)) - np.log((good + 0.5) / (n - n1 - good + 0.5))
-    spread = np.sqrt(1 / (bad + 0.5) + 1 / (n1 - bad + 0.5) + 1 / (good + 0.5) + 1 / (n - n1 - good + 0.5))
-    z = np.where(with_ >= least_docs, np.abs(odds) / spread, 0)
-    best = np.argsort(-z, kind="stable")[:features]
-    keys = np.unique(np.concatenate([vocabulary[best[z[best] >= sure]], np.array(identity, np.int64)]))
     column = np.searchsorted(keys, flat)
-    column[column == len(keys)] = 0
-    held = keys[column] == flat
-    x = np.zeros((n, len(keys) + 1), np.float32)
-    x[owner[held], column[held]] = 1
-    x[:, -1] = 1
     # swaps (from, to, how often)
-    place = {_key(t): None for kind in IDENTITY for t in kind}
-    place = {k: int(np.searchsorted(keys, k)) for k in place}
-    counted: dict = {}
-    kinds = {}
-    for kind in IDENTITY:
-        for t in kind:
-            kinds.setdefault(t, set()).update(set(kind) - {t})
-    for t in named:
-        for other in kinds[t]:
-            pair = place[_key(t)], place[_key(other)]
-            counted[pair] = counted.get(pair, 0) + 1
-    a, b = (np.array([p[i] for p in counted], int) for i in (0, 1))
-    often = np.array(list(counted.values()), float)
+    place = {t: int(np.searchsorted(keys, _key(t))) for kind in IDENTITY for t in kind}
+    counted: Counter = Counter()
+    for term, times in Counter(named).items():
+        for other in {t for kind in IDENTITY if term in kind for t in kind} - {term}:
+            counted[place[term], place[other]] += times
+    swaps = sorted(counted)
+    a, b = (np.array([p[i] for p in swaps], int) for i in (0, 1))
+    often = np.array([counted[p] for p in swaps], float)
     often = often / often.sum() if len(often) else often
     w = np.zeros(len(keys) + 1)
     w[-1] = np.log(n1 / (n - n1))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(float), -30, 30)))
-        g = (x.T @ (p - toxic).astype(np.float32)).astype(float) / n
-        g[:-1] += l2 * w[:-1]
+        z = np.bincount(owner, w[column], n) + w[-1]
+        left = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) / n
+        g = np.append(np.bincount(column, left[owner], len(keys)) + l2 * w[:-1], left.sum())
         if len(often):
             change = 2 * swap * often * (w[b] - w[a])
             np.add.at(g, b, change)
@@ -142,16 +148,40 @@ def fit(toxic: np.ndarray, docs: list[np.ndarray], named: list[str], features: i
     return Model(keys, w[:-1], float(w[-1]))
 
 
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fold: int, left_out: int, max_labels: int, least_docs: int = 3, sure: float = 3.0) -> Model:
+    rows = learning_rows(docs, labels, id_col, text_col, label_col, fold, left_out, max_labels)
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if toxic in (0, n):
+        model = fit(np.full(n, float(bool(toxic))), [], [], [])
+    else:
+        keys = np.unique(np.concatenate([np.asarray(sure_words(rows, n, toxic, least_docs, sure).toArrow().column("w")), np.array(identity_keys(), np.int64)]))
+        sc = docs.sparkSession.sparkContext
+        known = sc.broadcast(keys)
+
+        def held(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                seen = batch.column("seen")
+                flat = np.asarray(seen.flatten()).astype(np.int64)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(seen.offsets)))
+                at = np.minimum(np.searchsorted(known.value, flat), len(known.value) - 1)
+                hit = known.value[at] == flat
+                edges = np.searchsorted(row[hit], np.arange(batch.num_rows + 1)).astype(np.int32)
+                yield pa.record_batch([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat[hit])), batch.column("named")], ["toxic", "seen", "named"])
+
+        sample = rows.mapInArrow(held, "toxic int, seen array<bigint>, named array<string>").toArrow()
+        terms = [t for row in sample.column("named").to_pylist() for t in row]
+        model = fit(np.asarray(sample.column("toxic")).astype(float), [np.array(x, np.int64) for x in sample.column("seen").to_pylist()], terms, keys)
+    drop_table(rows)
+    return model
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 3, left_out: int = 1, threshold: float = 0.7, max_labels: int = 20_000,
 ) -> DataFrame:
     """(id, held_out, score, predicted) of every row."""
-    sample = _samples(docs, labels, id_col, text_col, label_col, fold, left_out, max_labels)
-    seen = sample.column("seen").combine_chunks()
-    offsets, values = np.asarray(seen.offsets), np.asarray(seen.values)
-    named = [t for row in sample.column("named").to_pylist() for t in row]
-    parts = [values[offsets[i] : offsets[i + 1]] for i in range(len(seen))]
-    model = fit(np.asarray(sample.column("toxic")).astype(float), parts, named) if len(seen) else fit(np.zeros(0), [], [])
+    model = learn(docs, labels, id_col, text_col, label_col, fold, left_out, max_labels)
     weights = {int(k): float(w) for k, w in zip(model.keys, model.weights)}
     terms = docs.sparkSession.sparkContext.broadcast((weights, model.intercept))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -171,5 +201,5 @@ def toxicity(
                 scores.append(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
             yield pa.record_batch([batch.column(id_col), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [id_col, "held_out", "score", "predicted"])
 
-    rows = docs.select(id_col, F.coalesce(crc_mod(id_col, fold) == left_out, F.lit(False)).alias("held_out"), F.col(text_col).alias(P + "t"))
+    rows = docs.select(named(id_col), F.coalesce(crc_mod(id_col, fold) == left_out, F.lit(False)).alias("held_out"), named(text_col).alias(P + "t"))
     return rows.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")

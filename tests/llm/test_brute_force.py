@@ -200,6 +200,60 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (crc(i, 3) == 1) and r.predicted == (r.score >= 0.7) for i, r in got.items())
 
 
+def test_toxicity_by_hand(spark):
+    """Features, penalty and descent from the definitions, over a dense table of words."""
+    import re
+
+    def split(t):
+        return re.findall(r"[^\W\d_]+", t.lower())
+
+    rng = np.random.default_rng(6)
+    vocabulary = ["idiot", "scum", "garden", "tree", "bread", "muslim", "christian", "jewish", "women", "men"] + [f"{a}{b}x" for a in "abcdefghij" for b in "klmno"]
+    texts, labels = [], []
+    for i in range(240):
+        bad = i % 3 == 0
+        own = list(rng.choice(vocabulary[5:], 12)) + (list(rng.choice(vocabulary[:2], 2)) if bad or rng.random() < 0.1 else list(rng.choice(vocabulary[2:5], 2)))
+        texts.append((i, " ".join(own[:7]) + ". " + " ".join(own[7:]) + "!"))
+        labels.append((i, int(bad)))
+    docs, marks = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, marks).collect()}
+    train = [i for i, _ in texts if crc(i, 3) != 1]
+    y = np.array([labels[i][1] for i in train], float)
+    n, n1 = len(train), y.sum()
+    terms = sorted({t for kind in toxicity.IDENTITY for t in kind})
+    names = set(terms)
+    for w in {w for i in train for w in split(texts[i][1])}:
+        has = np.array([w in split(texts[i][1]) for i in train])
+        a, b = has[y == 1].sum() + 0.5, has[y == 0].sum() + 0.5
+        c, d = n1 + 1 - a, n - n1 + 1 - b
+        if has.sum() >= 3 and abs(math.log(a / c) - math.log(b / d)) >= 3 * (1 / a + 1 / b + 1 / c + 1 / d) ** 0.5:
+            names.add(w)
+    names = sorted(names)
+    assert {"idiot", "scum", "garden"} <= set(names)
+    x = np.array([[float(w in split(texts[i][1])) for w in names] + [1.0] for i in train])
+    swaps = collections.Counter()
+    for i in train:
+        for sentence in re.split(r"[.!?\n]+", texts[i][1]):
+            for t in set(split(sentence)) & set(terms):
+                for other in {o for kind in toxicity.IDENTITY if t in kind for o in kind} - {t}:
+                    swaps[names.index(t), names.index(other)] += 1
+    w = np.zeros(len(names) + 1)
+    w[-1] = math.log(n1 / (n - n1))
+    m, v = w * 0, w * 0
+    for step in range(1, 401):
+        g = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) / n
+        g[:-1] += 1e-4 * w[:-1]
+        for (p, q), often in swaps.items():
+            change = 2 * often / sum(swaps.values()) * (w[q] - w[p])
+            g[q] += change
+            g[p] -= change
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    for i, t in texts:
+        z = sum(weight for name, weight in zip(names, w) if name in split(t)) + w[-1]
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
 def test_counterfactual_penalty_ties_identity_terms():
     """A group that stands only in toxic documents: with the penalty its name stops counting."""
     key = toxicity._key
@@ -207,7 +261,8 @@ def test_counterfactual_penalty_ties_identity_terms():
     y = np.array([1.0] * 60 + [0.0] * 60 + [1.0] * 20)
     named = ["muslim"] * 60
     weight = lambda m, w: float(m.weights[list(m.keys).index(key(w))])
-    free, tied = toxicity.fit(y, x, named, swap=0.0), toxicity.fit(y, x, named, swap=50.0)
+    keys = np.unique(np.concatenate(x))
+    free, tied = toxicity.fit(y, x, named, keys, swap=0.0), toxicity.fit(y, x, named, keys, swap=50.0)
     spread = lambda m: abs(weight(m, "muslim") - weight(m, "christian"))
     assert spread(tied) < 0.2 * spread(free) and weight(tied, "idiot") > 1
 

@@ -13,7 +13,7 @@ from lakeseek.llm.language import identify, keep_identified
 from lakeseek.llm.line_dedup import line_dedup
 from lakeseek.llm.merkle import document_fingerprints
 from lakeseek.llm.mixing import mix_sources
-from lakeseek.llm.simhash import simhash_components
+from lakeseek.llm.simhash import near_dedup, simhash_components
 from lakeseek.llm.substring_dedup import substring_dedup
 from lakeseek.llm.toxicity import toxicity
 
@@ -135,6 +135,17 @@ def test_class_lm(docs, empty):
     assert all(r.score < 0 and r.base_score < 0 for r in rows)
 
 
+def test_clashing_names_can_be_written(spark, docs, tmp_path):
+    """The input has columns of the results' and the helpers' names: they come back as they were, and the result can be written."""
+    extra = docs.withColumns({c: F.lit("kept") for c in (P + "t", P + "id", P + "row", "of", "s", "r", "epoch", "n_tokens", "order_key", "doc_key", "text.x", "a`b")}).withColumn("block", F.lit(5))
+    for name, df in (("mixing", mix_sources(extra)), ("lines", line_dedup(extra)), ("near", near_dedup(extra)), ("clean", decontaminate(extra, spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string"))), ("language", keep_identified(extra))):
+        df.write.parquet(str(tmp_path / name))
+        back = spark.read.parquet(str(tmp_path / name))
+        assert back.columns[: len(extra.columns)] == extra.columns and back.count() > 0, name
+        assert {(r[P + "t"], r[P + "row"], r["epoch"], r["block"], r["a`b"]) for r in back.collect()} == {("kept", "kept", "kept", 5, "kept")}, name
+    assert {"new_epoch", "new_block", "new_n_tokens", "new_order_key", "new_doc_key"} <= set(spark.read.parquet(str(tmp_path / "mixing")).columns)
+
+
 def test_mixing(docs, empty):
     rows = mix_sources(docs, target_entropy=None, max_repetition=None).collect()
     assert {r.doc_id for r in rows} >= {4, 5, 6, 8} and mix_sources(empty).count() == 0
