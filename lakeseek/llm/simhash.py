@@ -1,12 +1,13 @@
 """SimHash near-dedup: fingerprints over word shingles, pigeonhole blocks, Hamming verification, components.
 
-A 64-bit fingerprint is split into four blocks of 16 bits. Two fingerprints that differ in at most two bits share at least two whole
-blocks, so they meet under one of six keys of two blocks. Equal fingerprints are one node, whatever the number of copies. Within a
-key of up to ``hot`` fingerprints the pairs are verified by their Hamming distance. A key of more is not paired: each of its
-fingerprints goes to the 65 values within one bit of it; two are within two bits exactly if they share such a value, and no value
-has more than 65. So rows grow with the fingerprints, not with their square, and no link is lost.
-
-Defined cases: null and wordless texts have fingerprint 0 and link like any other. Texts of one or two words have one shingle, their
+A 64-bit fingerprint is split into ``blocks`` blocks. Two fingerprints that differ in at most ``radius`` bits share at least blocks - radius
+whole blocks, so they meet under one of the keys of so many blocks: 6 keys of 32 bits for radius 2 in 4 blocks, 35 of 27 bits for
+radius 4 in 7. Equal fingerprints are one node, whatever the number of copies. Within a key of up to ``hot`` fingerprints the pairs are
+verified by their Hamming distance. A key of more is not paired: each of its fingerprints goes to all values within half the radius of
+it (65 for radius 2, 2,081 for 4); two are within the radius exactly if they share such a value, and the smallest stands for all that do.
+So rows grow with the fingerprints, not with their square, and no link is lost.
+
+Defined cases: null and wordless texts have fingerprint 0 and link like any other. Texts of fewer words than a shingle have one, their
 whole sequence. Repeated rows are separate rows of one node. A null id never is a component's smallest id, unless the component has
 no other. An empty table gives an empty result.
 """
@@ -19,11 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.llm.common import P, joined, lower_ascii, materialise, utf8, word_bounds
+from lakeseek.llm.common import P, drop_table, joined, lower_ascii, materialise, named, packed, unpacked, utf8, word_bounds
 from lakeseek.llm.graph import components
 
-BLOCKS, RADIUS = 4, 2
-
 
 def _lanes() -> np.ndarray:
     """For each value of four bits its bits as four 16-bit counters in one word."""
@@ -78,9 +77,10 @@ def shingle_hashes(column, shingle: int, seed: int) -> tuple[np.ndarray, np.ndar
     return hashes, np.where(words == 0, 0, np.maximum(1, words - shingle + 1))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(P + id, P + fp bigint) of every row; fp has the bits of the unsigned fingerprint."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, with_hash: bool = False) -> DataFrame:
+    """(P + id, P + fp bigint) of every row, and the text's xxhash64 as P + t if asked; fp has the bits of the unsigned fingerprint."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    more = [P + "t"] * with_hash
 
     def compute(batches):
         import pyarrow as pa
@@ -88,47 +88,73 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                hashes, sizes = shingle_hashes(part.column(P + "t"), shingle, seed)
-                yield pa.record_batch([part.column(P + "id"), pa.array(majority(hashes, sizes).view(np.int64))], [P + "id", P + "fp"])
+                hashes, sizes = shingle_hashes(part.column(P + "text"), shingle, seed)
+                yield pa.record_batch([part.column(P + "id"), pa.array(majority(hashes, sizes).view(np.int64)), *[part.column(c) for c in more]], [P + "id", P + "fp", *more])
 
-    return docs.select(F.col(id_col).alias(P + "id"), F.col(text_col).alias(P + "t")).mapInArrow(compute, f"`{P}id` {id_type}, `{P}fp` bigint")
+    text = named(text_col)
+    rows = docs.select(named(id_col).alias(P + "id"), text.alias(P + "text"), *[F.xxhash64(text).alias(c) for c in more])
+    return rows.mapInArrow(compute, f"`{P}id` {id_type}, `{P}fp` bigint" + f", `{P}t` bigint" * with_hash)
 
 
-def links(prints: DataFrame, hot: int = 32) -> DataFrame:
-    """Edges (u, v) among the distinct fingerprints ``prints`` (fp bigint) whose components are those of all pairs within RADIUS bits.
+def links(prints: DataFrame, hot: int = 32, radius: int = 2, blocks: int = 4) -> DataFrame:
+    """Edges (u, v) among the distinct fingerprints ``prints`` (fp bigint) whose components are those of all pairs within ``radius`` bits.
 
     A node of a hot key's value may be no fingerprint of a row; it joins only fingerprints that are linked anyway.
     """
-    width = 64 // BLOCKS
-
-    def block(k: int):
-        return F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1))
-
-    keys = F.array(*[
-        F.struct(F.lit(i).alias("c"), F.shiftleft(block(a), width).bitwiseOR(block(b)).alias("k"))
-        for i, (a, b) in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS))
-    ])
-    dealt = prints.select("fp", F.explode(keys).alias("key")).select("fp", "key.c", "key.k")
+    if radius % 2:
+        raise ValueError("the radius must be even: hot keys meet at half of it")
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    block = [f"(shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1})" for a, b in zip(edges, edges[1:])]
+    keys = [f"struct({i} AS c, xxhash64({', '.join(block[j] for j in own)}) AS k)" for i, own in enumerate(combinations(range(blocks), blocks - radius))]
+    dealt = prints.select("fp", F.explode(F.expr(f"array({', '.join(keys)})")).alias("key")).select("fp", "key.c", "key.k")
     counted = dealt.groupBy("c", "k").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialise(dealt.join(counted, ["c", "k"]), "blocks")
     small = met.filter(F.col("n") <= hot)
     pairs = (
         small.select("c", "k", F.col("fp").alias("u")).join(small.select("c", "k", F.col("fp").alias("v")), ["c", "k"])
-        .filter((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)).select("u", "v")
+        .filter((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).select("u", "v")
     )
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64)])
+    masks = [sum(1 << b for b in bits) for r in range(radius // 2 + 1) for bits in combinations(range(64), r)]
+    signed = " ".join(str(m - (1 << 64) if m >> 63 else m) for m in masks)
+    near = F.transform(F.split(F.lit(signed), " "), lambda m: F.col("fp").bitwiseXOR(m.cast("long")))  # one literal, whatever the radius
     close = met.filter(F.col("n") > hot).select("fp").distinct().select("fp", F.explode(near).alias("mid"))
-    shared = close.groupBy("mid").agg(F.min("fp").alias("v"), F.collect_list("fp").alias("all")).filter(F.size("all") > 1)  # 65 at most
-    return pairs.unionByName(shared.select(F.explode("all").alias("u"), "v").filter("u <> v")).distinct()
+    least = close.groupBy("mid").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = close.join(least, "mid").select(F.col("fp").alias("u"), "v").filter("u <> v")
+    out = materialise(pairs.unionByName(shared).distinct(), "links")
+    drop_table(met)
+    return out
+
 
+def simhash_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, hot: int = 32, radius: int = 2, blocks: int = 4, by_text: bool = False,
+) -> DataFrame:
+    """(P + id, P + fp, P + component) of every row: component is the smallest id reachable over links of ``radius`` bits or fewer.
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, hot: int = 32) -> DataFrame:
-    """(P + id, P + fp, P + component) of every row: component is the smallest id reachable over links of RADIUS bits or fewer."""
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    groups = prints.groupBy(F.col(P + "fp").alias("fp")).agg(F.min(P + "id").alias("least"))
-    groups = materialise(groups, "distinct-fingerprints")
-    roots = components(links(groups.select("fp"), hot))
+    ``by_text`` adds P + t, the text's hash, and P + first, whether no row of the component has a smaller (id, hash of the text).
+    """
+    columns = [P + "id", P + "fp"] + [P + "t"] * by_text
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle, seed, by_text), "fingerprints")
+    own = F.struct(F.col(P + "id").isNull().alias("none"), F.col(P + "id").alias("id"), F.col(P + "t").alias("t")) if by_text else F.lit(None).cast("int")
+    groups = materialise(prints.groupBy(F.col(P + "fp").alias("fp")).agg(F.min(P + "id").alias("least"), F.min(own).alias("own")), "distinct-fingerprints")
+    edges = links(groups.select("fp"), hot, radius, blocks)
+    roots = components(edges)
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias(P + "component"))
-    known = rooted.join(least, "root").select(F.col("fp").alias(P + "fp"), P + "component")
-    return prints.join(known, P + "fp").select(P + "id", P + "fp", P + "component")
+    least = rooted.groupBy("root").agg(F.min("least").alias(P + "component"), F.min("own").alias("first"))
+    known = rooted.join(least, "root").select(F.col("fp").alias(P + "fp"), P + "component", "first")
+    out = prints.join(known, P + "fp")
+    drop_table(edges)
+    return out.select(*columns, P + "component", *([own.eqNullSafe(F.col("first")).alias(P + "first")] if by_text else []))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, blocks: int = 7, hot: int = 1024) -> DataFrame:
+    """``docs`` with one row of each component of near duplicates: that of the smallest id, of equal ids that of the smallest hash of the text.
+
+    Rows are told apart by id and text, so an id with several texts loses only those that are near others; of fully equal rows one stays.
+    Texts are near at ``radius`` bits of 64 or fewer over shingles of five words. An empty table gives an empty result.
+    """
+    found = simhash_components(docs, id_col, text_col, shingle, hot=hot, radius=radius, blocks=blocks, by_text=True)
+    first = found.filter(P + "first").select(F.col(P + "id").alias("first_id"), F.col(P + "t").alias("first_text")).distinct()
+    rows = packed(docs, id=named(id_col), t=F.xxhash64(named(text_col)))
+    kept = rows.join(first, F.col(P + "id").eqNullSafe(F.col("first_id")) & (F.col(P + "t") == F.col("first_text")), "left_semi")
+    one = kept.groupBy(P + "id", P + "t").agg(F.first(P + "row").alias(P + "row"))
+    return one.select(*unpacked(one, docs.columns))
