@@ -13,10 +13,10 @@ beside one takes the class that most words seen once took, and so does a word no
 transition(d | c) = (n(c, d) + m * n(d) / N) / (n(c) + m); emission(w | c) = (n(w) + k) / (n(c) + k (v(c) + 1)), v(c) the class's distinct
 words, with one unknown word in every class. Counts are of all training texts and all words.
 
-Passes over the texts: count words; count core bigrams; collect the other words' neighbours; score. The driver holds the core's bigrams
-(``core`` squared, 8 MB), the class bigrams and the ``head`` most frequent words with their counts and classes (17 bytes each, broadcast for
-scoring), however large the corpus. The other words of a text travel to the table of all words and their counts and classes come back
-by row. Common words never do. Words are 64-bit hashes (exact ones of short words are mixed, see ``common.word_hashes``).
+Passes over the texts: count words; count core bigrams; collect the other words' neighbours; count class bigrams; score. The driver holds
+the core's bigrams (``core`` squared, 8 MB), the class bigrams and the ``head`` most frequent words with their counts and classes (24 bytes
+each, broadcast for the last two passes), however large the corpus. The other words of a text travel to the table of all words and their counts and
+classes come back by row. Common words never do. Words are 64-bit hashes (exact ones of short words are mixed, see ``common.word_hashes``).
 
 Of equally frequent words at the end of core or head those of the smallest hashes are in, about as many as there is room for.
 
@@ -204,30 +204,20 @@ def core_bigrams(train: DataFrame, core: Words, size: int) -> np.ndarray:
 
 
 def neighbours(train: DataFrame, classes_of: Words, classes: int, flush: int = 3_000_000) -> DataFrame:
-    """(h, cell, g, n) of the words without a class in ``classes_of``.
-
-    cell: after a class c: c; before one: classes + c; after and before another such word: 2 * classes and one more. Rows of cell -1
-    are pairs of such words, h before g.
-    """
-    width = 2 * classes + 2
+    """(h, cell, n) of the words without a class in ``classes_of``: how often after a class c (cell c) and before one (classes + c)."""
+    width = 2 * classes
 
     def run(batches):
         import pyarrow as pa
 
         cells: list = []
-        pairs: list = []
         size = 0
 
         def emit():
             h, cell = (np.concatenate([x[i] for x in cells]) for i in range(2))
             u, at = np.unique(h, return_inverse=True)
             key, n = np.unique(at * width + cell, return_counts=True)
-            a, b = (np.concatenate([x[i] for x in pairs]) for i in range(2))
-            table = {
-                "h": np.concatenate([u[key // width], a]).view(np.int64), "cell": np.concatenate([key % width, np.full(len(a), -1)]).astype(np.int16),
-                "g": np.concatenate([np.zeros(len(key), np.uint64), b]).view(np.int64), "n": np.concatenate([n, np.ones(len(a), np.int64)]),
-            }
-            return pa.record_batch(table)
+            return pa.record_batch({"h": u[key // width].view(np.int64), "cell": (key % width).astype(np.int16), "n": n})
 
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
@@ -235,37 +225,32 @@ def neighbours(train: DataFrame, classes_of: Words, classes: int, flush: int = 3
                 line = _with_ends(classes_of.value(words), offs)
                 hashes = np.insert(words, offs[1:], 0)
                 own = np.flatnonzero(line < 0)  # never the last token, which is an end
-                before = np.concatenate([[END], line[:-1]])[own]
-                after = line[own + 1]
-                cells.append((hashes[own], np.where(before < 0, 2 * classes, before)))
-                cells.append((hashes[own], np.where(after < 0, 2 * classes + 1, classes + after)))
-                first = own[after < 0]
-                pairs.append((hashes[first], hashes[first + 1]))
+                before, after = np.concatenate([[END], line[:-1]])[own], line[own + 1]
+                cells.append((hashes[own[before >= 0]], before[before >= 0]))
+                cells.append((hashes[own[after >= 0]], classes + after[after >= 0]))
                 size += 2 * len(own)
                 if size > flush:
                     yield emit()
-                    cells, pairs, size = [], [], 0
+                    cells, size = [], 0
         if size:
             yield emit()
 
-    return train.select(P + "t").mapInArrow(run, "h bigint, cell smallint, g bigint, n bigint")
+    return train.select(P + "t").mapInArrow(run, "h bigint, cell smallint, n bigint")
 
 
 def gains(table: np.ndarray) -> np.ndarray:
-    """Of each cell (rows; those beside words without a class 0) the gain in likelihood that one count of it gives each class, from the class bigrams."""
+    """Of each cell (rows) the gain in likelihood that one count of it gives each class, from the class bigrams."""
     smooth = table + 0.1
     ratio = np.log(smooth) - np.log(smooth.sum(1))[:, None] - np.log(smooth.sum(0))[None, :]
-    out = np.zeros((2 * len(table) + 2, len(table)))
-    out[: len(table)] = ratio  # after class c
-    out[len(table) : -2] = ratio.T
+    out = np.concatenate([ratio, ratio.T])
     out[:, END] = 0  # no word's class
     return out
 
 
 def assign(cells: DataFrame, table: np.ndarray) -> DataFrame:
-    """(h, n, class) of the words of ``cells`` (h, cell, n): class of the greatest gain, of equal ones the lowest; -1 if never beside a class."""
-    classes = len(table)
+    """(h, class) of the words of ``cells`` (h, cell, n): class of the greatest gain, of equal ones the lowest."""
     gain = gains(table)
+    size = len(gain)
 
     def run(batches):
         import pyarrow as pa
@@ -275,15 +260,56 @@ def assign(cells: DataFrame, table: np.ndarray) -> DataFrame:
             flat = seen.flatten()
             row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(seen.offsets)))
             cell, n = np.asarray(flat.field("cell")).astype(np.int64), np.asarray(flat.field("n")).astype(float)
-            size = 2 * classes + 2
             counts = np.bincount(row * size + cell, n, batch.num_rows * size).reshape(-1, size)
-            won = 1 + (counts @ gain)[:, 1:].argmax(1)
-            won[counts[:, :-2].sum(1) == 0] = -1
-            total = counts[:, :classes].sum(1) + counts[:, 2 * classes]  # a word follows something each time
-            yield pa.record_batch({"h": batch.column("h"), "n": total.astype(np.int64), "class": won.astype(np.int16)})
+            yield pa.record_batch({"h": batch.column("h"), "class": (1 + (counts @ gain)[:, 1:].argmax(1)).astype(np.int16)})
 
     vectors = cells.groupBy("h", "cell").agg(F.sum("n").alias("n")).groupBy("h").agg(F.collect_list(F.struct("cell", "n")).alias("v"))  # as many as cells at most
-    return vectors.mapInArrow(run, "h bigint, n bigint, class smallint")
+    return vectors.mapInArrow(run, "h bigint, class smallint")
+
+
+def class_bigrams(train: DataFrame, frequent: Words, lexicon: DataFrame, classes: int, unknown: int) -> np.ndarray:
+    """Counts of classes (classes, classes) that follow one another, of all tokens: the frequent words' added up in the tasks, the others joined."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                words, offs = _tokens(batch.column(P + "t").slice(at, BATCH))
+                line = _with_ends(frequent.value(words), offs)
+                hashes = np.insert(words, offs[1:], 0)
+                before = np.concatenate([[END], line[:-1]])
+                both = (line >= 0) & (before >= 0)
+                own += np.bincount(before[both] * classes + line[both], minlength=classes * classes)
+                rare = np.flatnonzero(line < 0)
+                after = line[rare + 1]
+                yield pa.record_batch({
+                    "cell": np.full(len(rare), -1, np.int32), "n": np.ones(len(rare), np.int64), "h": hashes[rare].view(np.int64), "before": before[rare].astype(np.int16),
+                    "after": after.astype(np.int16), "g": np.where(after < 0, hashes[rare + 1], 0).view(np.int64),
+                })
+        some = np.flatnonzero(own)
+        none = np.zeros(len(some), np.int64)
+        yield pa.record_batch({"cell": some.astype(np.int32), "n": own[some], "h": none, "before": none.astype(np.int16), "after": none.astype(np.int16), "g": none})
+
+    rows = materialise(train.select(P + "t").mapInArrow(run, "cell int, n bigint, h bigint, before smallint, after smallint, g bigint"), "class-bigrams")
+    out = np.zeros((classes, classes))
+    flat = out.reshape(-1)
+    for cell, n in rows.filter("cell >= 0").groupBy("cell").agg(F.sum("n")).collect():
+        flat[cell] += n
+    known = lexicon.select("h", "class")
+    rare = rows.filter("cell < 0").join(known, "h", "left").select("before", "after", "g", F.coalesce("class", F.lit(unknown)).alias("own"))
+    rare = materialise(rare.groupBy("before", "after", "g", "own").agg(F.count("*").alias("n")), "rare-bigrams")
+    for before, after, c, n in rare.groupBy("before", "after", "own").agg(F.sum("n")).collect():  # as many as classes to the third at most
+        if before >= 0:
+            out[before, c] += n
+        if after >= 0:
+            out[c, after] += n
+    pairs = rare.filter("after < 0").select("own", "n", F.col("g").alias("h")).join(known, "h", "left").groupBy("own", F.coalesce("class", F.lit(unknown)).alias("next")).agg(F.sum("n"))
+    for first, second, n in pairs.collect():
+        out[first, second] += n
+    drop_table(rows, rare)
+    return out
 
 
 def class_lm(
@@ -306,28 +332,19 @@ def class_lm(
     of = exchange(between, classes)
     onehot = np.zeros((size, classes))
     onehot[np.arange(size), of] = 1
-    bigram = onehot.T @ between @ onehot
 
     # all other words
-    around = materialise(neighbours(train, Words(core_hashes, of[1:]), classes), "word-neighbours")
-    assigned = materialise(assign(around.filter("cell >= 0"), bigram), "word-classes")
-    taken = assigned.filter("n = 1 AND class >= 0").groupBy("class").count().collect()
-    unknown = min(taken, key=lambda r: (-r[1], r[0]))[0] if taken else int(of[1:].min()) if size > 1 else min(1, classes - 1)
-    known = docs.sparkSession.createDataFrame([(int(h), int(n), int(c)) for h, n, c in zip(common["h"], common["n"], of[1:])], "h bigint, n bigint, class smallint")
-    lexicon = assigned.withColumn("class", F.when(F.col("class") < 0, F.lit(unknown)).otherwise(F.col("class")).cast("smallint")).unionByName(known)
-    lexicon = materialise(lexicon, "lexicon")
-    # class bigrams with them: beside the core's, and among themselves
-    other = assigned.select("h", F.when(F.col("class") < 0, F.lit(unknown)).otherwise(F.col("class")).alias("class"))
-    beside = around.filter((F.col("cell") >= 0) & (F.col("cell") < 2 * classes)).join(other, "h").groupBy("cell", "class").agg(F.sum("n").alias("n")).collect()
-    for cell, c, n in beside:
-        if cell < classes:
-            bigram[cell, c] += n
-        else:
-            bigram[c, cell - classes] += n
-    pairs = around.filter("cell = -1").select("h", "g", "n").join(other.withColumnRenamed("class", "first"), "h")
-    pairs = pairs.join(other.withColumnsRenamed({"h": "g", "class": "second"}), "g").groupBy("first", "second").agg(F.sum("n").alias("n"))
-    for first, second, n in pairs.collect():  # as many as classes squared
-        bigram[first, second] += n
+    around = neighbours(train, Words(core_hashes, of[1:]), classes)
+    assigned = assign(around, onehot.T @ between @ onehot)
+    known = F.broadcast(docs.sparkSession.createDataFrame([(int(h), int(c)) for h, c in zip(common["h"], of[1:])], "ch bigint, cc smallint"))  # the core
+    told = counted.join(assigned, "h", "left").join(known, F.col("h") == F.col("ch"), "left").select("h", "n", F.coalesce("cc", "class").alias("class"))
+    told = materialise(told, "word-classes")
+    once = told.join(known, F.col("h") == F.col("ch"), "left_anti").filter("n = 1 AND class IS NOT NULL").groupBy("class").count().collect()
+    unknown = min(once, key=lambda r: (-r[1], r[0]))[0] if once else int(of[1:].min()) if size > 1 else min(1, classes - 1)
+    lexicon = told.select("h", "n", F.coalesce("class", F.lit(unknown)).cast("smallint").alias("class"))
+    best = most_frequent(lexicon, head, "class")
+    frequent = Words(best["h"].view(np.uint64), best["class"].astype(np.int64), best["n"].astype(float))
+    bigram = class_bigrams(train, Words(frequent.hashes, frequent.values[0]), lexicon, classes, unknown)
     distinct_words = np.zeros(classes)
     for c, n in lexicon.groupBy("class").count().collect():
         distinct_words[c] = n
@@ -336,11 +353,10 @@ def class_lm(
     step = np.log10((bigram + m * (after / max(1.0, after.sum()))[None, :] + 1e-12) / (before[:, None] + m))
     unit = np.log10(np.maximum(after + k * (distinct_words + 1), 1e-12))
     log_base = float(np.log10(max(total + k * (distinct + 1), 1e-12)))
-    best = most_frequent(lexicon, head, "class")
-    shared = sc.broadcast((Words(best["h"].view(np.uint64), best["class"].astype(np.int64), best["n"].astype(float)), step, unit))  # bounded by head and classes
+    shared = sc.broadcast((frequent, step, unit))  # bounded by head and classes
     end = float(n_texts)
     id_type = docs.schema[id_col].dataType.simpleString()
-    drop_table(around, assigned, counted)
+    drop_table(counted)
 
     def score(batches):
         import pyarrow as pa
