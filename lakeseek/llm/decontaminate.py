@@ -166,7 +166,9 @@ def contaminated(
     right = dealt(item_prints, "item_fp", lambda v: F.explode(F.transform(near_values, lambda mask: v.bitwiseXOR(mask))))
     n_items = item_prints.count()
     masks = sum(1 for r in range(radius // blocks + 1) for _ in combinations(range(64 // blocks), r))
-    met = dealt(prints, "fp", lambda v: v).join(small(right, n_items * blocks * masks), ["n", "k", "block", "v"])
+    near_rows = n_items * blocks * masks
+    right = F.broadcast(right) if near_rows <= broadcast_rows else right.hint("merge")  # the planner sees the items' size, not the values'
+    met = dealt(prints, "fp", lambda v: v).join(right, ["n", "k", "block", "v"])
     near = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*win, "mw", "item", "it").distinct()
     near = materialise(near, "near-windows")
 
