@@ -283,7 +283,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return seen.select(F.col(P + "row").getField("id").alias(id_col), F.col(P + "row").getField("held_out").alias("held_out"), F.col(P + "lang_pred").alias("lang_pred"), F.col(P + "score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5, most_excess: float = 3.0, least_bytes: int = 50, fold: int = 5) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5, most_excess: float = 5.0, least_bytes: int = 50, fold: int = 5) -> DataFrame:
     """``docs`` without rows of no language: ``und``, and of texts of ``least_bytes`` or more those of an even score or a code much longer than the language's own texts have.
 
     Shorter texts say too little for either test and stay.
