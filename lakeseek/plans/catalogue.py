@@ -1,7 +1,7 @@
 """The engine's queries over the driver's tables, and the same in SQL.
 
 Roles of the tables: documents are a corpus (a path is made up from doc_id), embeddings are chunk vectors (label is the document a chunk belongs
-to, vec_id < 20 the queries), benchmark texts are text queries, labels with the same label are relevant.
+to, vec_id divisible by 100 the queries), benchmark texts are text queries, labels with the same label are relevant.
 """
 
 from __future__ import annotations
@@ -35,13 +35,14 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # -- vectors -----------------------------------------------------------------------------------------------------------
 
-N_QUERIES = 20
+#: The query set: every row whose id is divisible by 100, against all rows.
+QUERY_SET = "vec_id % 100 = 0"
 
 
 def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     e = _t(spark, sf_dir, "embeddings")
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), F.col("vec_id").alias("ordinal"), "embedding")
-    return e.filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), "embedding"), chunks
+    return e.filter(QUERY_SET).select(F.col("vec_id").alias("query_id"), "embedding"), chunks
 
 
 def _scores(spark, sf_dir) -> DataFrame:
@@ -50,7 +51,7 @@ def _scores(spark, sf_dir) -> DataFrame:
 
 _S = f"""
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label AS doc_id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
-  FROM embeddings q, embeddings c WHERE q.vec_id < {N_QUERIES})"""
+  FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)"""
 #: A made-up path for each label, of all three kinds.
 _LABEL_PATH = "CASE WHEN label % 3 = 0 THEN 'src/m' || label || '.py' WHEN label % 3 = 1 THEN 'tests/test_m' || label || '.py' ELSE 'docs/m' || label || '.md' END"
 _LABEL_KIND = "CASE WHEN doc_id % 3 = 0 THEN 'code' WHEN doc_id % 3 = 1 THEN 'test' ELSE 'docs' END"
@@ -68,11 +69,11 @@ def cosine_topk(spark, sf_dir):
 
 
 def _doc_score(name: str, agg: str, sql_agg: str):
-    sql = f"WITH {_S}, d AS (SELECT query_id, doc_id, {sql_agg}(score) AS score, count(*) AS n_chunks FROM s GROUP BY ALL) SELECT query_id, doc_id, round(round(score, 9), 6) AS score, n_chunks, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM d"
+    sql = f"WITH {_S}, d AS (SELECT query_id, doc_id, {sql_agg}(score) AS score, count(*) AS n_chunks FROM s GROUP BY ALL) SELECT query_id, doc_id, round(round(score, 9), 6) AS score, n_chunks, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM d QUALIFY rank <= 100"
 
     def f(spark, sf_dir):
         d = scoring.document_scores(_scores(spark, sf_dir), agg).withColumn("score", F.round("score", 9))
-        return ranking.ranked(d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "n_chunks", "rank")
+        return ranking.ranked(d).filter("rank <= 100").select("query_id", "doc_id", F.round("score", 6).alias("score"), "n_chunks", "rank")
 
     f.__name__, f.__doc__ = name, f"Documents' scores: {agg} over their chunks."
     query(sql)(f)
@@ -96,20 +97,20 @@ def chunks_per_doc_top3(spark, sf_dir):
     return ranking.best_chunks(_scores(spark, sf_dir), 3).select("query_id", "doc_id", "chunk_id", F.round("score", 6).alias("score"), "chunk_rank")
 
 
-@query(f"WITH {_S}, d AS (SELECT query_id, doc_id, max(score) AS score FROM s GROUP BY ALL), r AS (SELECT *, {_LABEL_KIND} AS kind FROM d), p AS (SELECT *, CASE WHEN kind = 'code' THEN score ELSE score - 0.15 END AS rank_score FROM r) SELECT query_id, doc_id, kind, round(score, 6) AS score, round(rank_score, 6) AS rank_score, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, doc_id DESC) AS rank FROM p")
+@query(f"WITH {_S}, d AS (SELECT query_id, doc_id, max(score) AS score FROM s GROUP BY ALL), r AS (SELECT *, {_LABEL_KIND} AS kind FROM d), p AS (SELECT *, CASE WHEN kind = 'code' THEN score ELSE score - 0.15 END AS rank_score FROM r) SELECT query_id, doc_id, kind, round(score, 6) AS score, round(rank_score, 6) AS rank_score, row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, doc_id DESC) AS rank FROM p QUALIFY rank <= 100")
 def kind_penalty_rank(spark, sf_dir):
     """Tests and docs rank lower by a penalty; their score stays."""
     d = scoring.document_scores(_scores(spark, sf_dir)).withColumn("kind", tx.file_kind(_label_path()))
     d = d.withColumn("rank_score", scoring.rank_score(F.col("score"), F.col("kind"), 0.15))
-    return ranking.ranked(d, "rank_score").select("query_id", "doc_id", "kind", F.round("score", 6).alias("score"), F.round("rank_score", 6).alias("rank_score"), "rank")
+    return ranking.ranked(d, "rank_score").filter("rank <= 100").select("query_id", "doc_id", "kind", F.round("score", 6).alias("score"), F.round("rank_score", 6).alias("rank_score"), "rank")
 
 
-@query(f"WITH {_S}, d AS (SELECT query_id, doc_id, max(score) AS score FROM s WHERE doc_id % 3 = 0 GROUP BY ALL) SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM d")
+@query(f"WITH {_S}, d AS (SELECT query_id, doc_id, max(score) AS score FROM s WHERE doc_id % 3 = 0 GROUP BY ALL) SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM d QUALIFY rank <= 100")
 def code_only_rank(spark, sf_dir):
     """Only code is scored at all."""
     queries, chunks = _vectors(spark, sf_dir)
     code = chunks.filter(tx.file_kind(_label_path()) == "code")
-    return ranking.ranked(scoring.document_scores(scoring.score(queries, code))).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return ranking.ranked(scoring.document_scores(scoring.score(queries, code))).filter("rank <= 100").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT vec_id, round(list_aggregate(list_transform(v, lambda x: x * 1.0), 'sum'), 5) AS total, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM (SELECT vec_id, list_transform(w, lambda x: x / greatest(sqrt(list_dot_product(w, w)), 1e-12)) AS v FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 + 1) AS w FROM embeddings))")
@@ -253,6 +254,23 @@ def chunk_gaps(spark, sf_dir):
     return chunking.gaps(_windows(spark, sf_dir)).select("doc_id", "chunk_id")
 
 
+def _sources(spark, sf_dir) -> DataFrame:
+    """A Python file of each document: an opening of five lines and three functions, of 24 to 30 lines of ten tokens each, two blank lines after each."""
+    steps = (F.lit(24) + F.col("doc_id") % 7).cast("int")
+    body = lambda i: F.concat(F.lit(f"def f{i}(x):\n"), F.repeat(F.lit("    x = x * 2 + y - (3)\n"), steps), F.lit("    return x\n\n\n"))
+    opening = F.concat(F.lit("import os\n\nLIMIT = "), F.col("doc_id").cast("string"), F.lit("\n\n\n"))
+    return _t(spark, sf_dir, "documents").select(F.concat(F.lit("src/m"), "doc_id", F.lit(".py")).alias("doc_id"), F.concat(opening, *[body(i) for i in range(3)]).alias("text"))
+
+
+@query("""WITH n AS (SELECT doc_id, 24 + doc_id % 7 AS n FROM documents), f AS (SELECT doc_id, n, i, CASE WHEN i = 0 THEN 1 ELSE 6 + i * (n + 4) END AS a, 5 + (i + 1) * (n + 4) AS b FROM n, range(0, 3) AS r(i))
+SELECT 'src/m' || doc_id || '.py#L' || a || '-L' || b AS chunk_id, 'src/m' || doc_id || '.py' AS doc_id, i::INTEGER AS ordinal, a::INTEGER AS start_line, b::INTEGER AS end_line,
+ '# src/m' || doc_id || '.py' || chr(10) || '# f' || i || chr(10) AS header FROM f""")
+def syntax_chunks(spark, sf_dir):
+    """Chunks along definitions with headers: the opening joins the first function, every function keeps the blank lines after it."""
+    chunks = chunking.chunk(_sources(spark, sf_dir), "ast", chunking.WordTokenizer(), 1024, header=True)
+    return chunks.select("chunk_id", "doc_id", "ordinal", "start_line", "end_line", "header")
+
+
 @query(f"WITH RECURSIVE {_WINDOWS} SELECT list_sort(list(b - a))[count(*) // 2 + 1] AS median FROM w")
 def chunk_line_median(spark, sf_dir):
     """Upper median of the chunks' lines."""
@@ -381,14 +399,15 @@ def update_deleted(spark, sf_dir):
     return upd.deleted_ids(upd.diff(*_two_states(spark, sf_dir)))
 
 
-_PICK = "CASE WHEN p % 3 = 0 THEN p + 50 * (v - 1) WHEN p % 3 = 1 AND v = 3 THEN p + 50 ELSE p END"
-_SNAPS = f"snaps AS (SELECT 'c' || v || 'a0' AS sha, v AS ordinal, 'src/f' || p || '.py' AS path, d.text FROM range(0, 50) AS a(p), range(1, 4) AS b(v), documents d WHERE d.doc_id = {_PICK} AND NOT (p % 10 = 9 AND v = 1))"
+#: Two documents are one path's texts: the second replaces the first in some of three commits; some paths are not in the first commit.
+_PICK = "2 * p + CASE WHEN v = 2 AND p % 3 IN (0, 2) OR v = 3 AND p % 3 IN (1, 2) THEN 1 ELSE 0 END"
+_SNAPS = f"snaps AS (SELECT 'c' || v || 'a0' AS sha, v AS ordinal, 'src/f' || p || '.py' AS path, text FROM (SELECT *, doc_id // 2 AS p FROM documents) d, range(1, 4) AS b(v) WHERE doc_id = {_PICK} AND NOT (p % 10 = 9 AND v = 1))"
 
 
 def _snaps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    grid = spark.range(50).select(F.col("id").alias("p")).crossJoin(spark.range(1, 4).select(F.col("id").alias("v"))).filter("NOT (p % 10 = 9 AND v = 1)")
-    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    snaps = grid.withColumn("doc_id", F.expr(_PICK)).join(d, "doc_id").select(F.concat(F.lit("c"), "v", F.lit("a0")).alias("sha"), F.concat(F.lit("src/f"), "p", F.lit(".py")).alias("path"), "text")
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", F.expr("doc_id div 2").alias("p"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("v"))
+    d = d.filter(F.col("doc_id") == F.expr(_PICK)).filter("NOT (p % 10 = 9 AND v = 1)")
+    snaps = d.select(F.concat(F.lit("c"), "v", F.lit("a0")).alias("sha"), F.concat(F.lit("src/f"), "p", F.lit(".py")).alias("path"), "text")
     rows = [(f"c{v}a0", f"c{v}a0", f"2024-0{v}-01T00:00:00+00:00", f"commit {v}", [f"v{v}"] if v < 3 else [], v) for v in (1, 2, 3)]
     return snaps, spark.createDataFrame(rows, "sha string, short string, date string, subject string, tags array<string>, ordinal int")
 
@@ -499,13 +518,13 @@ def _run_and_labels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Chunks ranked for each query, rounded so that ties abound; chunks of the query's label are relevant."""
     e = _t(spark, sf_dir, "embeddings")
     run = ranking.top_k(_scores(spark, sf_dir).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 2).alias("score")), 100)
-    q = e.filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), "label")
+    q = e.filter(QUERY_SET).select(F.col("vec_id").alias("query_id"), "label")
     labels = q.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id", (1 + F.col("doc_id") % 3).cast("int").alias("relevance"))
     return run.select("query_id", "doc_id", "score"), labels
 
 
 _RUN = f"""{_S}, run AS (SELECT query_id, chunk_id AS doc_id, round(score, 2) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 2) DESC, chunk_id DESC) <= 100),
-rel AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, 1 + c.vec_id % 3 AS g FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id < {N_QUERIES}),
+rel AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, 1 + c.vec_id % 3 AS g FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 100 = 0),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM run QUALIFY rank <= 10),
 j AS (SELECT top.query_id, rank, coalesce(g, 0) AS g, row_number() OVER (PARTITION BY top.query_id, coalesce(g, 0) > 0 ORDER BY rank) AS k FROM top LEFT JOIN rel ON rel.query_id = top.query_id AND rel.doc_id = top.doc_id),
 got AS (SELECT query_id, sum(g / log2(rank + 1)) AS dcg, min(rank) FILTER (g > 0) AS first, count(*) FILTER (g > 0) AS found, sum(k / rank) FILTER (g > 0) AS prec FROM j GROUP BY 1),
@@ -608,13 +627,13 @@ def prf_grid(spark, sf_dir):
 def _graded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     s = _scores(spark, sf_dir).select("query_id", F.col("doc_id").alias("path"), "score", F.col("chunk_id").alias("doc_id"), (F.col("chunk_id") % 40 + 1).alias("start_line"), (F.col("chunk_id") % 40 + 12).alias("end_line"))
     hits = ranking.top_k(s, 10).select("query_id", "path", "rank", "start_line", "end_line")
-    q = _t(spark, sf_dir, "embeddings").filter(F.col("vec_id") < N_QUERIES)
+    q = _t(spark, sf_dir, "embeddings").filter(QUERY_SET)
     spans = q.select(F.col("vec_id").alias("query_id"), ((F.col("label") + 1) % 10).alias("path"), F.lit(10).alias("first_line"), F.lit(20).alias("last_line"))
     return hits, spans
 
 
 _GRADED = f"""{_S}, h AS (SELECT query_id, doc_id AS path, chunk_id % 40 + 1 AS a, chunk_id % 40 + 12 AS b, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS rank FROM s QUALIFY rank <= 10),
-sp AS (SELECT vec_id AS query_id, (label + 1) % 10 AS path FROM embeddings WHERE vec_id < {N_QUERIES}),
+sp AS (SELECT vec_id AS query_id, (label + 1) % 10 AS path FROM embeddings WHERE vec_id % 100 = 0),
 g AS (SELECT sp.query_id, min(rank) AS file_rank, min(rank) FILTER (a <= 20 AND b >= 10) AS span_rank FROM sp LEFT JOIN h ON h.query_id = sp.query_id AND h.path = sp.path GROUP BY ALL)"""
 
 
