@@ -204,30 +204,58 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
+USAGE = ":paste (lines up to a single . are one query)  :k N  :json  :reload  :help  :q"
+
+
 def _interactive(session: Session, show, a) -> None:
-    """Lines are queries; :paste ... . takes several, :k N, :json, :reload, :help and :q are commands."""
+    """Lines are queries; those that start with a colon are commands. What a line gets wrong is told, and the session goes on."""
+
+    def answer(text: str) -> None:
+        if not text.strip():
+            print("nothing to search for")
+            return
+        session.refresh()
+        try:
+            show(text)
+        except ValueError as error:
+            print(f"error: {error}")
+
+    def top_k(value: str) -> None:
+        if value.isdecimal() and int(value) > 0:
+            a.top_k = int(value)
+            print(f"{a.top_k} results")
+        else:
+            print("usage: :k N, N a whole number from 1")
+
+    def as_json(_: str) -> None:
+        a.json = not a.json
+        print(f"JSON {'on' if a.json else 'off'}")
+
+    commands = {
+        ":help": lambda _: print(USAGE), ":h": lambda _: print(USAGE), ":json": as_json, ":reload": lambda _: print("reloaded" if session.refresh() else "unchanged"), ":k": top_k,
+        ":paste": lambda _: answer(_paste(sys.stdin)),
+    }
     for line in sys.stdin:
-        line = line.rstrip("\n")
-        if line == ":q":
+        line = line.strip()
+        name, _, rest = line.partition(" ")
+        if name in (":q", ":quit", ":exit"):
             return
-        if line == ":help":
-            print(":paste  :k N  :json  :reload  :help  :q")
-        elif line == ":json":
-            a.json = not a.json
-        elif line == ":reload":
-            print("reloaded" if session.refresh() else "unchanged")
-        elif line.startswith(":k "):
-            a.top_k = max(1, int(line[3:]))
-        elif line == ":paste":
-            held = []
-            for more in sys.stdin:
-                if more.rstrip("\n") == ".":
-                    break
-                held.append(more)
-            show("".join(held))
-        elif line.strip():
-            session.refresh()
-            show(line)
+        if name in commands:
+            commands[name](rest.strip())
+        elif line.startswith(":"):
+            print(f"unknown command {name}; {USAGE}")
+        elif line:
+            answer(line)
+
+
+def _paste(lines) -> str:
+    """What stands before a line of a single dot."""
+    held = []
+    for line in lines:
+        if line.rstrip("\r\n") == ".":
+            break
+        held.append(line)
+    return "".join(held)
 
 
 if __name__ == "__main__":

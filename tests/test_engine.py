@@ -398,3 +398,24 @@ def test_search_ways_agree(spark):
     for options in ({}, {"aggregate": "mean"}, {"kind_penalty": 0.5}, {"code_only": True}):
         assert plain(**options) == plain(blocks=True, **options)
     assert {r[2] for r in plain(code_only=True)} <= {"d0", "d3", "d6", "d9"}
+
+
+def test_interactive_session_goes_on(monkeypatch, capsys):
+    """Wrong input is told and doesn't end the session."""
+    import io
+    from types import SimpleNamespace
+
+    shown = []
+
+    def show(text):
+        if text == "bad":
+            raise ValueError("no such version")
+        shown.append(text)
+
+    a = SimpleNamespace(top_k=10, json=False)
+    lines = [":help", ":k x", ":k 3", ":paste", ".", ":paste", "two", "lines", ".", ":what", "bad", "  ", "first", ":json", ":quit", "never"]
+    monkeypatch.setattr("sys.stdin", io.StringIO("".join(x + "\n" for x in lines)))
+    session._interactive(SimpleNamespace(refresh=lambda: False), show, a)
+    out = capsys.readouterr().out
+    assert shown == ["two\nlines\n", "first"] and (a.top_k, a.json) == (3, True)
+    assert "usage: :k N" in out and "unknown command :what" in out and "nothing to search for" in out and "no such version" in out
