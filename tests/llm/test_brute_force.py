@@ -447,6 +447,7 @@ def test_html_without_article():
 
 
 def test_mixing(spark):
+    """Budgets from alpha found on a fine grid by the definition; whole passes, and a last one of whole blocks but one."""
     rng = np.random.default_rng(5)
     sizes = {"a": 4000, "b": 400, "c": 60, None: 90}
     data = [(k * 10_000 + i, " ".join(["w"] * int(rng.integers(1, 9))), s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
@@ -454,25 +455,69 @@ def test_mixing(spark):
     total = collections.Counter()
     for _, t, s in data:
         total[s] += len(t.split())
+    share = np.array(list(total.values())) / sum(total.values())
+    grid = np.linspace(0, 1, 20_001)
+    every = share[None, :] ** grid[:, None]
+    every /= every.sum(1, keepdims=True)
+    spread = -(every * np.log(every)).sum(1) / math.log(len(share))
+    repeats = (every / share).max(1)
     for entropy, limit in ((0.98, 4.0), (0.7, None), (None, 2.0)):
         got = mixing.mix_sources(df, target_entropy=entropy, max_repetition=limit, block_tokens=500).collect()
-        counts = list(total.values())
-        alpha = mixing.solve_alpha(counts, sum(counts), entropy, limit)
-        shares = mixing.weights([c / sum(counts) for c in counts], alpha)
-        taken = collections.Counter()
-        times = collections.Counter()
-        for r in got:
-            taken[r.source] += r.n_tokens
-            times[r.doc_id] += 1
-        for s, w in zip(total, shares):
-            budget = min(w * sum(counts), total[s] * (limit or math.inf))
-            assert budget - 1e-6 <= taken[s] < budget + 9, (s, taken[s], budget)
+        at = np.flatnonzero(spread >= entropy)[-1] if entropy else len(grid) - 1
+        if limit:
+            at = max(at, np.flatnonzero(repeats <= limit)[0])
+        for (s, n), w in zip(total.items(), every[at]):
+            budget = min(w * sum(total.values()), n * (limit or math.inf))
+            own = [r for r in got if r.source == s]
+            assert abs(sum(r.n_tokens for r in own) - budget) <= 9 + 2e-3 * budget, (s, budget)
+            times = collections.Counter(r.doc_id for r in own)
+            want = {i for i, _, x in data if x == s}
+            whole = int(budget / n + 1e-3)
+            assert all(times[i] in (whole, whole + 1) for i in want)
+            passes = collections.defaultdict(lambda: collections.defaultdict(set))
+            for r in own:
+                passes[r.epoch][r.block].add(r.doc_id)
+            if whole and whole in passes:
+                assert sum(passes[whole][b] != passes[0][b] for b in passes[whole]) <= 1
+            assert len({r.block for r in own}) <= math.ceil(n / 500)
         assert all(0 <= r.order_key <= 1 for r in got)
-        for s in total:
-            own = [times[i] for i, _, x in data if x == s]
-            assert max(own) - min(own) <= 1
-    alpha = mixing.solve_alpha([1000, 10], 1010, 0.9, None)
-    assert mixing.entropy(mixing.weights([1000 / 1010, 10 / 1010], alpha)) == pytest.approx(0.9 * math.log(2), abs=1e-6)
+
+
+def test_near_dedup(spark):
+    """Against all pairs of fingerprints over five-word shingles within four bits, with ids that repeat and rows that are equal."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for base in range(25):
+        words = [f"w{x}" for x in rng.integers(0, 500, 400)]
+        for copy in range(int(rng.integers(1, 6))):
+            own = words[:]
+            for _ in range(int(rng.integers(0, 4)) if copy else 0):
+                own[int(rng.integers(400))] = f"new{rng.integers(1000)}"
+            rows.append((len(rows) // 2 if base % 5 == 0 else len(rows), " ".join(own)))
+    rows += [rows[3], rows[3], (7, "an own text of seven"), (7, None), (900, ""), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def print5(text):
+        w = (text or "").encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 5]), 42) for k in range(max(1, len(w) - 4))] if w else []
+        return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+    texts = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    prints = [print5(t) for _, t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    assert len(set(group)) < len(texts)
+    for hot in (1, 1024):
+        kept = [(r.doc_id, r.text) for r in simhash.near_dedup(df, hot=hot).collect()]
+        assert len(kept) == len(set(kept)) == len(set(group))
+        for g in set(group):
+            members = [t for t, x in zip(texts, group) if x == g]
+            stays = [k for k in kept if k in members]
+            assert len(stays) == 1 and stays[0][0] == members[0][0]
 
 
 def test_pipeline(spark, docs):
@@ -490,7 +535,8 @@ def test_pipeline(spark, docs):
         kept = out.cache()
     final = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in final.select("doc_id").collect()} <= set(docs.doc_id)
-    prints = {r.doc_id: brute_fingerprint(r.text) for r in final.dropDuplicates(["doc_id"]).collect()}
-    assert len(set(brute_components(prints).values())) == len(prints)
+    texts = [r.text for r in final.dropDuplicates(["doc_id"]).collect()]
+    benchmark = [r.text.lower() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert len(texts) == len(set(texts)) and not any(b in t.lower() for b in benchmark for t in texts)
     assert P not in "".join(final.columns)
     assert final.select(F.sum("n_tokens")).first()[0] > 0
