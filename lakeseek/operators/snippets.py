@@ -29,9 +29,14 @@ def lines_table(chunks: DataFrame, *keys: str) -> DataFrame:
     return chunks.select(*keys, F.posexplode(split_lines(F.col("text"))).alias("i", "line"))
 
 
+def _asked_lines(chunks: DataFrame, query: str, *keys: str) -> DataFrame:
+    """(*keys, __asked, i, line): lines with the query's terms, which are taken once per chunk."""
+    return lines_table(chunks.select(*keys, "text", terms(F.col(query)).alias("__asked")), *keys, "__asked")
+
+
 def matching_lines(chunks: DataFrame, query: str, *keys: str) -> DataFrame:
     """(*keys, i): lines that share a term with the query column."""
-    return lines_table(chunks, *keys, query).filter(F.arrays_overlap(terms(F.col("line")), terms(F.col(query)))).select(*keys, "i")
+    return _asked_lines(chunks, query, *keys).filter(F.arrays_overlap(terms(F.col("line")), F.col("__asked"))).select(*keys, "i")
 
 
 def focus(chunks: DataFrame, query: str, *keys: str, budget: int = fixed.SNIPPET_LINES) -> DataFrame:
@@ -40,28 +45,30 @@ def focus(chunks: DataFrame, query: str, *keys: str, budget: int = fixed.SNIPPET
     A line scores the rarity (one over the number of lines) of the query's terms in it, twice that on a definition line. The earliest best
     window wins, unless the first one is as good; it starts at its first scoring line, or the definition up to six lines above that, with
     the decorators over it, and never so late that lines are left over.
+
+    The texts are dealt by their keys once; every frame and aggregate below keeps to that, so lines are never shuffled.
     """
-    lines = lines_table(chunks, *keys, query)
-    each = lines.select(*keys, "i", F.explode(F.array_intersect(terms(F.col("line")), terms(F.col(query)))).alias("term"))
-    rarity = each.groupBy(*keys, "term").agg((1 / F.count("*")).alias("weight"))
-    scored = each.join(rarity, [*keys, "term"]).groupBy(*keys, "i").agg(F.sum("weight").alias("raw"))
-    every = lines.select(*keys, "i", is_definition(F.col("line")).alias("definition"), F.ltrim("line").startswith("@").alias("decorator")).join(scored, [*keys, "i"], "left")
+    lines = _asked_lines(chunks.repartition(*keys), query, *keys)
+    found = F.array_intersect(terms(F.col("line")), F.col("__asked"))
+    each = lines.select(*keys, "i", is_definition(F.col("line")).alias("definition"), F.ltrim("line").startswith("@").alias("decorator"), F.explode_outer(found).alias("term"))
+    rarity = F.when(F.col("term").isNotNull(), 1 / F.count("*").over(Window.partitionBy(*keys, "term")))
+    every = each.withColumn("weight", rarity).groupBy(*keys, "i").agg(F.max("definition").alias("definition"), F.max("decorator").alias("decorator"), F.sum("weight").alias("raw"))
     every = every.withColumn("s", F.coalesce(F.col("raw") * F.when(F.col("definition"), 2).otherwise(1), F.lit(0.0)))
     order = Window.partitionBy(*keys).orderBy("i")
-    n = F.count("*").over(Window.partitionBy(*keys))
     above = order.rowsBetween(-fixed.LOOK_BACK, 0)
     not_decorator = F.last(F.when(~F.col("decorator"), F.col("i")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     framed = every.withColumns({
-        "n": n, "window": F.round(F.sum("s").over(order.rowsBetween(0, budget - 1)), 9),
+        "n": F.count("*").over(Window.partitionBy(*keys)), "window": F.round(F.sum("s").over(order.rowsBetween(0, budget - 1)), 9),
         "first": F.first(F.when(F.col("s") > 0, F.col("i")), ignorenulls=True).over(order.rowsBetween(0, budget - 1)),
         "definition_above": F.last(F.when(F.col("definition"), F.col("i")), ignorenulls=True).over(above),
         "run_start": F.coalesce(not_decorator, F.lit(-1)) + 1,
     })
-    best = framed.filter(F.col("i") <= F.greatest(F.lit(0), F.col("n") - budget)).groupBy(*keys).agg(F.max(F.struct("window", (-F.col("i")).alias("back"), "first", "n")).alias("b"))
-    at = best.select(*keys, F.col("b.window").alias("window"), F.col("b.first").alias("hit"), F.col("b.n").alias("n"))
-    above_hit = framed.select(*keys, F.col("i").alias("hit"), "definition_above")
-    start = at.join(above_hit, [*keys, "hit"], "left").withColumn("start", F.coalesce("definition_above", "hit"))
-    runs = framed.select(*keys, F.col("i").alias("start"), "run_start")
-    start = start.join(runs, [*keys, "start"], "left")
-    value = F.when((F.col("n") <= budget) | (F.col("window") <= 0) | F.col("start").isNull(), F.lit(0)).otherwise(F.least("run_start", F.col("n") - budget))
-    return chunks.select(*keys).join(start.select(*keys, value.cast("int").alias("focus")), list(keys), "left").withColumn("focus", F.coalesce("focus", F.lit(0)))
+    fits = F.col("i") <= F.greatest(F.lit(0), F.col("n") - budget)
+    best = framed.groupBy(*keys).agg(
+        F.max(F.when(fits, F.struct("window", (-F.col("i")).alias("back"), "first", "n"))).alias("b"),
+        F.array_sort(F.collect_list(F.struct("i", "definition_above", "run_start"))).alias("at"),  # of one text's lines
+    )
+    hit, n = F.col("b.first"), F.col("b.n")
+    best = best.withColumn("start", F.coalesce(F.try_element_at("at", hit + 1)["definition_above"], hit))
+    value = F.when((n <= budget) | (F.col("b.window") <= 0) | F.col("start").isNull(), F.lit(0)).otherwise(F.least(F.try_element_at("at", F.col("start") + 1)["run_start"], n - budget))
+    return chunks.select(*keys).join(best.select(*keys, value.cast("int").alias("focus")), list(keys), "left").withColumn("focus", F.coalesce("focus", F.lit(0)))
