@@ -351,7 +351,7 @@ def text_search_topk(spark, sf_dir):
     encoder = HashingEncoder(DIM)
     q = encode(_t(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id")).alias("query_id"), "text"), "text", encoder)
     d = encode(_t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "text", encoder)
-    run = scoring.score_blocks(q, d.select("doc_id", "embedding")).withColumn("score", F.round("score", 9))
+    run = scoring.score_blocks(q, d.select("doc_id", "embedding"), top=5, slack=1e-9).withColumn("score", F.round("score", 9))
     return ranking.top_k(run, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

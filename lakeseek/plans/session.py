@@ -96,12 +96,12 @@ class Session:
         rows = self.spark.createDataFrame([(f"q{k}", t) for k, t in enumerate(texts)], "query_id string, text string")
         return find.embed_queries(rows, self.encoder)
 
-    def current(self) -> DataFrame:
-        """The texts as they are now: the folder's, or for versions the stored ones."""
+    def current(self, paths: list[str]) -> DataFrame:
+        """The texts of ``paths`` as they are now: the folder's files, read alone, or the stored ones."""
         source = self.manifest["source"]
         if source.get("kind") == "directory" and os.path.isdir(source["root"]):
-            return directory.load_folder(self.spark, source["root"], exclude=self.root)
-        return self.tables["documents"]
+            return directory.load_files(self.spark, source["root"], paths)
+        return self.tables["documents"].filter(F.col("doc_id").isin(paths))
 
     def query(self, text: str, top_k: int = 10, version: str | None = None, code_only: bool = False, kind_penalty: float = fixed.KIND_PENALTY) -> DataFrame:
         if not text.strip():
@@ -111,9 +111,12 @@ class Session:
             return find.search_versions(asked, self.tables, top_k, None if version in (None, "all") else version, kind_penalty, code_only).orderBy("rank", "position")
         if version not in (None, "all"):
             raise ValueError("the index holds no versions")
-        found = find.search(asked, self.tables, top_k, kind_penalty=kind_penalty, code_only=code_only)
+        ranked = find.search(asked, self.tables, top_k, kind_penalty=kind_penalty, code_only=code_only)
+        rows = ranked.collect()  # of one query: top_k at most
+        found, paths = self.spark.createDataFrame(rows, ranked.schema), [r["doc_id"] for r in rows]
+        indexed = self.tables["documents"].filter(F.col("doc_id").isin(paths))
         focused = self.manifest["source"].get("kind") != "dataset"
-        return find.cited(found, asked.select("query_id", "text"), self.tables["documents"], self.current(), focused).orderBy("rank")
+        return find.cited(found, asked.select("query_id", "text"), indexed, self.current(paths), focused).orderBy("rank")
 
 
 def render(rows: list, lines: int = fixed.SNIPPET_LINES) -> str:

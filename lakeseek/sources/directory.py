@@ -7,6 +7,7 @@ Python data source, which needs the folder at the same path everywhere. (Spark's
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -124,10 +125,25 @@ class _Reader(DataSourceReader):
         self.slice_bytes = int(options.get("sliceBytes", 8 << 20))
         self.gitignore = options.get("respectGitignore", "true").lower() == "true"
         self.exclude = options.get("exclude")
+        self.only = options.get("only")
+
+    def files(self):
+        if self.only is not None:
+            return self.named(json.loads(self.only))
+        return walk(self.root, respect_gitignore=self.gitignore, exclude=self.exclude)
+
+    def named(self, paths):
+        """Those of ``paths`` that are files below the root; nothing else is looked at."""
+        root, out = os.path.realpath(self.root), []
+        for rel in sorted(set(paths)):
+            full = os.path.join(self.root, rel)
+            if os.path.isfile(full) and os.path.commonpath([root, os.path.realpath(full)]) == root:
+                out.append((rel, os.lstat(full).st_size, os.path.islink(full), False))
+        return out
 
     def partitions(self):
         slices, size = [[]], 0
-        for f in walk(self.root, respect_gitignore=self.gitignore, exclude=self.exclude):
+        for f in self.files():
             if size > self.slice_bytes:
                 slices.append([])
                 size = 0
@@ -195,6 +211,15 @@ def load_folder(spark: SparkSession, root: str, max_file_bytes: int = fixed.MAX_
     return documents(files.filter("skip_reason IS NULL"))
 
 
+def load_files(spark: SparkSession, root: str, paths: list[str], max_file_bytes: int = fixed.MAX_FILE_BYTES) -> DataFrame:
+    """Documents of the named files alone, without walking the folder; one that is gone has no row."""
+    if not os.path.isdir(root):
+        raise NotADirectoryError(root)
+    spark.dataSource.register(FolderSource)
+    files = spark.read.format("lakeseek_folder").option("maxFileBytes", max_file_bytes).option("only", json.dumps(paths)).load(root)
+    return documents(with_reasons(files, max_file_bytes).filter("skip_reason IS NULL"))
+
+
 def documents(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "text", F.col("doc_id").alias("source_path"), language(F.col("doc_id")).alias("language"), content_hash(F.col("text")).alias("content_hash"), "kind")
 
