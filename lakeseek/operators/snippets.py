@@ -40,7 +40,13 @@ def matching_lines(chunks: DataFrame, query: str, *keys: str) -> DataFrame:
 
 
 def focus(chunks: DataFrame, query: str, *keys: str, budget: int = fixed.SNIPPET_LINES) -> DataFrame:
-    """(*keys, focus): the line, from 0, at which to start showing ``budget`` lines of ``text``.
+    """(*keys, focus) of every chunk: ``focus_and_matches`` with 0 for chunks of no line."""
+    found = focus_and_matches(chunks, query, *keys, budget=budget).drop("match")
+    return chunks.select(*keys).join(found, list(keys), "left").withColumn("focus", F.coalesce("focus", F.lit(0)))
+
+
+def focus_and_matches(chunks: DataFrame, query: str, *keys: str, budget: int = fixed.SNIPPET_LINES) -> DataFrame:
+    """(*keys, focus, match) of chunks with lines: the line, from 0, at which to start showing ``budget`` lines of ``text``, and the lines with a term of the query.
 
     A line scores the rarity (one over the number of lines) of the query's terms in it, twice that on a definition line. The earliest best
     window wins, unless the first one is as good; it starts at its first scoring line, or the definition up to six lines above that, with
@@ -66,9 +72,10 @@ def focus(chunks: DataFrame, query: str, *keys: str, budget: int = fixed.SNIPPET
     fits = F.col("i") <= F.greatest(F.lit(0), F.col("n") - budget)
     best = framed.groupBy(*keys).agg(
         F.max(F.when(fits, F.struct("window", (-F.col("i")).alias("back"), "first", "n"))).alias("b"),
-        F.array_sort(F.collect_list(F.struct("i", "definition_above", "run_start"))).alias("at"),  # of one text's lines
+        F.array_sort(F.collect_list(F.struct("i", "definition_above", "run_start", F.col("raw").isNotNull().alias("found")))).alias("at"),  # of one text's lines
     )
     hit, n = F.col("b.first"), F.col("b.n")
     best = best.withColumn("start", F.coalesce(F.try_element_at("at", hit + 1)["definition_above"], hit))
     value = F.when((n <= budget) | (F.col("b.window") <= 0) | F.col("start").isNull(), F.lit(0)).otherwise(F.least(F.try_element_at("at", F.col("start") + 1)["run_start"], n - budget))
-    return chunks.select(*keys).join(best.select(*keys, value.cast("int").alias("focus")), list(keys), "left").withColumn("focus", F.coalesce("focus", F.lit(0)))
+    match = F.transform(F.filter("at", lambda x: x["found"]), lambda x: x["i"])
+    return best.select(*keys, value.cast("int").alias("focus"), match.alias("match"))

@@ -52,9 +52,8 @@ def cited(results: DataFrame, queries: DataFrame, indexed: DataFrame, current: D
     if not focused:
         return shown.withColumns({"focus_line": F.lit(None).cast("int"), "match_lines": F.array().cast("array<int>")})
     ok = shown.filter("snippet.status = 'ok'").join(queries.select("query_id", F.col("text").alias("query")), "query_id").select("query_id", "doc_id", "start_line", F.col("snippet.text").alias("text"), "query")
-    at = snippets.focus(ok, "query", "query_id", "doc_id")
-    match = snippets.matching_lines(ok, "query", "query_id", "doc_id").groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list("i")).alias("match"))
-    both = shown.join(at, ["query_id", "doc_id"], "left").join(match, ["query_id", "doc_id"], "left")
+    both = shown.join(snippets.focus_and_matches(ok, "query", "query_id", "doc_id"), ["query_id", "doc_id"], "left")
+    both = both.withColumn("focus", F.when(F.col("snippet.status") == "ok", F.coalesce("focus", F.lit(0))))
     lines = F.transform(F.coalesce("match", F.array().cast("array<int>")), lambda i: i + F.col("start_line"))
     return both.withColumns({"focus_line": F.col("focus") + F.col("start_line"), "match_lines": lines}).drop("focus", "match")
 
