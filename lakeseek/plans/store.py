@@ -3,18 +3,26 @@
 A save writes gen=NNNNNN/<table> and then swaps the manifest in by one atomic rename; readers see the old generation or the new
 one, whole. One writer at a time. Works on any store Spark writes to. Every table's row count and order-free hash stand in the manifest and are
 verified on load.
+
+A generation may be a delta: the rows of the documents that changed, and the ids of all that were touched. The manifest then lists its parts, the
+base first; of a document only the rows in the last part that touched it count. Folders of the manifest before stay until the next commit, for readers that
+opened it.
 """
 
 from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMAT = 1
 MANIFEST = "manifest.json"
+#: More deltas than these are merged: into one, or with the base if they hold this share of the documents or more.
+MAX_DELTAS = 16
+REBASE_SHARE = 0.25
 
 
 class IndexMismatch(ValueError):
@@ -115,14 +123,84 @@ def save(spark: SparkSession, root: str, tables: dict[str, DataFrame], fingerpri
     if check:
         validate(written["documents"], written["chunks"], int(fingerprint["dim"]) if "dim" in fingerprint else None)
     manifest = {
-        "format": FORMAT, "generation": generation, "saved_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "fingerprint": fingerprint, "chunking": chunking,
-        "source": source, "tables": {name: digest(df) for name, df in written.items()},
+        "format": FORMAT, "generation": generation, "saved_at": _now(), "fingerprint": fingerprint, "chunking": chunking, "source": source,
+        "tables": {name: digest(df) for name, df in written.items()},
     }
+    _commit(files, manifest)
+    return manifest
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="seconds")
+
+
+def _parts(manifest: dict) -> list[dict]:
+    return manifest.get("parts") or [{"folder": f"gen={manifest['generation']:06d}", "tables": manifest["tables"]}]
+
+
+def _commit(files: _Files, manifest: dict) -> None:
+    """Swap the manifest in; then delete what neither it nor the one before names."""
+    try:
+        before = json.loads(files.read(MANIFEST)) if files.exists(MANIFEST) else None
+        named = {p["folder"] for m in (manifest, before) if m for p in _parts(m)}
+    except (ValueError, KeyError):
+        named = {p["folder"] for p in _parts(manifest)}
     files.swap_in(MANIFEST, json.dumps(manifest, sort_keys=True, indent=1))
     for name in files.names():
-        if name.startswith("gen=") and name != folder:
+        if name.startswith("gen=") and name not in named:
             files.delete(name)
-    return manifest
+
+
+def _merged(spark: SparkSession, root: str, parts: list[dict], name: str) -> DataFrame:
+    """A table of all ``parts``: of each document the rows in the last part that touched it."""
+    read = lambda part, table: spark.read.parquet(f"{root.rstrip('/')}/{part['folder']}/{table}")
+    tables = [read(p, name) for p in parts]
+    if name == "touched":
+        return reduce(DataFrame.unionByName, tables).distinct()
+    if len(parts) == 1:
+        return tables[0]
+    touched = [read(p, "touched").withColumn("__newest", F.lit(k)) for k, p in enumerate(parts) if "touched" in p["tables"]]
+    newest = reduce(DataFrame.unionByName, touched).groupBy("doc_id").agg(F.max("__newest").alias("__newest"))
+    rows = reduce(DataFrame.unionByName, [t.withColumn("__part", F.lit(k)) for k, t in enumerate(tables)])
+    return rows.join(newest, "doc_id", "left").filter("__newest IS NULL OR __part = __newest").select(*tables[0].columns)
+
+
+def save_delta(spark: SparkSession, root: str, manifest: dict, touched: DataFrame, chunks: DataFrame, documents, gone: dict[str, int]) -> dict:
+    """Commit what changed since ``manifest`` as a generation of its own; only these rows are written, checked and hashed.
+
+    touched (doc_id) are the documents added, changed and deleted, chunks and documents(written chunks) the rows of those added and changed, gone the rows of
+    each table that no longer count.
+    """
+    files = _Files(spark, root)
+    generation = next_generation(spark, root)
+    folder = f"gen={generation:06d}"
+    read = lambda name: spark.read.parquet(f"{files.root}/{folder}/{name}")
+    touched.select("doc_id").write.mode("overwrite").parquet(f"{files.root}/{folder}/touched")
+    chunks.write.mode("overwrite").parquet(f"{files.root}/{folder}/chunks")
+    documents(read("chunks")).write.mode("overwrite").parquet(f"{files.root}/{folder}/documents")
+    validate(read("documents"), read("chunks"), int(manifest["fingerprint"]["dim"]) if "dim" in manifest["fingerprint"] else None)
+    own = {name: digest(read(name)) for name in ("touched", "documents", "chunks")}
+    totals = {name: {"rows": t["rows"] + own[name]["rows"] - gone[name]} for name, t in manifest["tables"].items()}
+    out = {**manifest, "generation": generation, "saved_at": _now(), "tables": totals, "parts": [*_parts(manifest), {"folder": folder, "tables": own}]}
+    _commit(files, out)
+    return compact(spark, root, out) if len(out["parts"]) > MAX_DELTAS + 1 else out
+
+
+def compact(spark: SparkSession, root: str, manifest: dict) -> dict:
+    """Merge the deltas into one, or with the base if they are no longer small beside it; the index holds the same rows."""
+    base, *deltas = _parts(manifest)
+    if sum(p["tables"]["touched"]["rows"] for p in deltas) >= REBASE_SHARE * manifest["tables"]["documents"]["rows"]:
+        tables = {name: _merged(spark, root, [base, *deltas], name) for name in base["tables"]}
+        return save(spark, root, tables, manifest["fingerprint"], manifest["chunking"], manifest["source"])
+    files = _Files(spark, root)
+    generation = next_generation(spark, root)
+    folder, own = f"gen={generation:06d}", {}
+    for name in ("touched", "documents", "chunks"):
+        _merged(spark, root, deltas, name).write.mode("overwrite").parquet(f"{files.root}/{folder}/{name}")
+        own[name] = digest(spark.read.parquet(f"{files.root}/{folder}/{name}"))
+    out = {**manifest, "generation": generation, "saved_at": _now(), "parts": [base, {"folder": folder, "tables": own}]}
+    _commit(files, out)
+    return out
 
 
 def check_compatible(manifest: dict, fingerprint: dict | None, chunking: dict | None) -> None:
@@ -141,12 +219,13 @@ def load(spark: SparkSession, root: str, fingerprint: dict | None = None, chunki
     if manifest.get("format") != FORMAT:
         raise IndexCorrupt(f"format {manifest.get('format')} is not {FORMAT}")
     check_compatible(manifest, fingerprint, chunking)
-    tables = {name: spark.read.parquet(f"{root.rstrip('/')}/gen={manifest['generation']:06d}/{name}") for name in manifest["tables"]}
+    parts = _parts(manifest)
     if verify:
-        for name, df in tables.items():
-            if digest(df) != manifest["tables"][name]:
-                raise IndexCorrupt(f"table {name} is not what the manifest says")
-    return manifest, tables
+        for part in parts:
+            for name, known in part["tables"].items():
+                if digest(spark.read.parquet(f"{root.rstrip('/')}/{part['folder']}/{name}")) != known:
+                    raise IndexCorrupt(f"table {name} is not what the manifest says")
+    return manifest, {name: _merged(spark, root, parts, name) for name in manifest["tables"]}
 
 
 def describe(spark: SparkSession, roots: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """An index kept current from a stream of documents' changes.
 
-Each micro-batch of (doc_id, text, op, seq) rows is reduced to the last row per document, then diffed against the index by content hash and
-saved as one new generation; a batch that arrives again changes nothing. op is "upsert" or "delete".
+Each micro-batch of (doc_id, text, op, seq) rows is reduced to the last row per document, then diffed against these documents' hashes in the index and
+committed as one delta, so a batch writes what it changed and not the index; a batch that arrives again changes nothing. op is "upsert" or "delete".
 """
 
 from __future__ import annotations
@@ -28,19 +28,26 @@ def as_documents(rows: DataFrame) -> DataFrame:
 
 def apply_changes(spark: SparkSession, batch: DataFrame, root: str, chunking: plans.Chunking, encoder) -> dict:
     """Apply one batch to the index in ``root`` (made if there is none); the manifest."""
-    last = last_changes(batch)
-    fresh = as_documents(last.filter("op = 'upsert'"))
     source = {"kind": "stream"}
     if store.manifest_of(spark, root) is None:
+        fresh = as_documents(last_changes(batch).filter("op = 'upsert'"))
         return store.save(spark, root, plans.build(fresh, chunking, encoder), encoder.fingerprint(), chunking.config, source)
     manifest, tables = store.load(spark, root, encoder.fingerprint(), chunking.config, verify=False)
-    touched = last.select("doc_id")
-    current = tables["documents"].drop("chunk_ids").join(touched, "doc_id", "left_anti").unionByName(fresh)
-    changed, stats = plans.update(current, tables, chunking, encoder)
-    counts = stats.first()
-    if not (counts["added"] or counts["changed"] or counts["deleted"]):
-        return manifest
-    return store.save(spark, root, changed, encoder.fingerprint(), chunking.config, source)
+    last = last_changes(batch).persist()  # one micro-batch, and the rows of its documents
+    known = tables["documents"].select("doc_id", "content_hash", F.size("chunk_ids").alias("held")).join(last.select("doc_id"), "doc_id", "left_semi").persist()
+    try:
+        fresh = as_documents(last.filter("op = 'upsert'"))
+        changes = upd.diff(fresh, known)
+        touched = changes.filter("status <> 'unchanged'")
+        gone = touched.join(known.select("doc_id", "held"), "doc_id").agg(F.count("*"), F.sum("held")).first()
+        if touched.isEmpty():
+            return manifest
+        docs = upd.to_embed(fresh, changes)
+        chunks = plans.embed_chunks(chunking(docs), encoder).drop("text", "header")
+        return store.save_delta(spark, root, manifest, touched, chunks, lambda written: plans.with_chunk_ids(docs, written), {"documents": gone[0], "chunks": gone[1] or 0})
+    finally:
+        known.unpersist()
+        last.unpersist()
 
 
 def follow(changes: DataFrame, root: str, checkpoint: str, chunking: plans.Chunking, encoder, **trigger):
