@@ -16,7 +16,9 @@ A text is contaminated by an item if one of its windows of the item's number of
 4. The exact weighted similarity decides. The best window of each text and item is told, of equal ones the first laid.
 
 What is broadcast is counted first: items' shingles, items' block values and the ids of texts that passed step 1, up to ``broadcast_rows``
-rows of 8 to 24 bytes; beyond that the same joins are shuffled. A common shingle meets the sizes of the items that have it, not the items.
+values (rows by columns; a value takes some 20 to 60 bytes of a hash table); beyond that the same joins are merged, and so are all joins of places, windows
+and shingles of the texts. None is left to the planner: it sees the size of a compressed file, and copies of one text make a small file of any
+number of rows. A common shingle meets the sizes of the items that have it, not the items.
 
 Defined cases: null and wordless texts and items match nothing. An item of fewer words than a shingle has one shingle, its whole
 sequence, and a text shorter than the item is one window, whole. Equal rows count as one text. Several texts under one item_id are
@@ -86,7 +88,7 @@ def contaminated(
     """(P + id, P + t: xxhash64 of the text, item_id, start_word, n_item_words, similarity): the best window of each contaminated (text, item)."""
 
     def small(df: DataFrame, rows: int) -> DataFrame:
-        return F.broadcast(df) if rows <= broadcast_rows else df
+        return F.broadcast(df) if rows * len(df.columns) <= broadcast_rows else df.hint("merge")
 
     item_text = named(item_text_col)
     base = items.select(named(item_col).alias("item"), F.xxhash64(item_text).alias("it"), item_text.alias("text"), F.least(F.size(_word_hashes(item_text)), F.lit(shingle)).alias("k")).filter("k > 0")
@@ -113,7 +115,7 @@ def contaminated(
         return out
 
     def matched(left: DataFrame, right: DataFrame, columns: dict[str, str], how: str = "inner") -> DataFrame:
-        """Join on columns that may be null; the right ones are renamed and dropped."""
+        """Join on columns that may be null; the right ones are renamed and dropped. ``right`` brings its hint."""
         renamed = {r: f"r_{i}" for i, r in enumerate(columns.values())}
         right = right.withColumnsRenamed(renamed)
         out = left.join(right, [left[c].eqNullSafe(right[renamed[r]]) for c, r in columns.items()], how)
@@ -136,7 +138,7 @@ def contaminated(
 
     starts = placed.filter(~short).select(*size, F.explode(F.filter(F.transform("at", start_at), lambda x: x["ok"])).alias("x")).select(*size, "x.start", "x.follows", (F.col("x.start") + F.col("m") - F.lit(1)).alias("end"))
     ends = placed.select(*key, "n", "k", F.explode("at").alias("p"))
-    going_on = matched(starts.filter("follows"), ends, {**{c: c for c in (*key, "n", "k")}, "end": "p"}, "left_semi")
+    going_on = matched(starts.filter("follows"), ends.hint("merge"), {**{c: c for c in (*key, "n", "k")}, "end": "p"}, "left_semi")
     at_end = placed.filter(~short & (F.get("at", F.size("at") - F.col("need")) >= F.col("last"))).select(*size, F.col("last").alias("start"))
     whole = placed.filter(short).select(*size, F.lit(0).alias("start"))
     laid = [starts.filter("NOT follows").select(*size, "start"), going_on.select(*size, "start"), at_end, whole]
@@ -149,7 +151,7 @@ def contaminated(
     chosen = materialise(windows.select(*key).distinct(), "hit-texts")
     again = matched(own, small(chosen, chosen.count()), {c: c for c in key}, "left_semi").distinct()
     pieces = exploded(again).drop("n_doc")
-    wins = windows.withColumnsRenamed({P + "id": "cid", P + "t": "ct", "k": "wk"})
+    wins = windows.withColumnsRenamed({P + "id": "cid", P + "t": "ct", "k": "wk"}).hint("merge")
     inside = (F.col("p") >= F.col("start")) & (F.col("p") < F.col("start") + F.col("m"))
     held = pieces.join(wins, pieces[P + "id"].eqNullSafe(wins.cid) & (pieces[P + "t"] == wins.ct) & (wins.wk == pieces.k) & inside)
     win = [*size, "start"]
@@ -167,17 +169,16 @@ def contaminated(
     n_items = item_prints.count()
     masks = sum(1 for r in range(radius // blocks + 1) for _ in combinations(range(64 // blocks), r))
     near_rows = n_items * blocks * masks
-    right = F.broadcast(right) if near_rows <= broadcast_rows else right.hint("merge")  # the planner sees the items' size, not the values'
-    met = dealt(prints, "fp", lambda v: v).join(right, ["n", "k", "block", "v"])
+    met = dealt(prints, "fp", lambda v: v).join(small(right, near_rows), ["n", "k", "block", "v"])
     near = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*win, "mw", "item", "it").distinct()
     near = materialise(near, "near-windows")
 
     # step 4
-    counts = matched(held, near.select(*win), {c: c for c in win}, "left_semi").groupBy(*win, "h").agg(F.count("*").alias("a"))
+    counts = matched(held, near.select(*win).hint("merge"), {c: c for c in win}, "left_semi").groupBy(*win, "h").agg(F.count("*").alias("a"))
     item_counts = parts.groupBy("item", "it", "h").agg(F.count("*").alias("b"))
     pairs = matched(near.select(*win, "item", "it"), small(item_counts, n_parts), {"item": "item", "it": "it"})
-    common = matched(pairs, counts, {**{c: c for c in win}, "h": "h"}).groupBy(*win, "item", "it").agg(F.sum(F.least("a", "b")).alias("common"))
-    judged = matched(near, common, {c: c for c in (*win, "item", "it")}).withColumn("similarity", F.col("common") / (F.col("mw") + F.col("m") - F.col("common")))
+    common = matched(pairs, counts.hint("merge"), {**{c: c for c in win}, "h": "h"}).groupBy(*win, "item", "it").agg(F.sum(F.least("a", "b")).alias("common"))
+    judged = matched(near, common.hint("merge"), {c: c for c in (*win, "item", "it")}).withColumn("similarity", F.col("common") / (F.col("mw") + F.col("m") - F.col("common")))
     judged = judged.filter(F.col("similarity") >= threshold - 1e-9)
     best = judged.groupBy(*key, "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
     best = materialise(best, "contaminations")
@@ -189,8 +190,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """``docs`` without the contaminated rows, columns as they are whatever their names."""
     found = contaminated(docs, items, id_col, text_col, broadcast_rows=broadcast_rows, **options)
     bad = found.select(F.col(P + "id").alias("bad_id"), F.col(P + "t").alias("bad_text")).distinct()
-    if found.count() <= broadcast_rows:
-        bad = F.broadcast(bad)
+    bad = F.broadcast(bad) if found.count() * len(bad.columns) <= broadcast_rows else bad.hint("merge")
     keyed = packed(docs, id=named(id_col), t=F.xxhash64(named(text_col)))
     clean = keyed.join(bad, F.col(P + "id").eqNullSafe(F.col("bad_id")) & (F.col(P + "t") == F.col("bad_text")), "left_anti")
     return clean.select(*unpacked(clean, docs.columns))

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from lakeseek.llm import merkle
+from lakeseek.llm import decontaminate as decontaminate_module
 from lakeseek.llm.decontaminate import contaminated
 from lakeseek.llm.html_extract import Page, extract, path_scores
 
@@ -163,3 +164,22 @@ def test_decontamination_judges_every_window(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
     found = {(r[0], r.item_id): round(r.similarity, 6) for r in contaminated(docs, bench).collect()}
     assert found == want and (len(texts) - 1, 0) in found
+
+
+def test_decontamination_broadcasts_only_what_it_counted(spark, monkeypatch):
+    """A file of many copies is small, what its rows unfold to is not: no join may be left to the planner, which sees the file."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, f"before {passage} after" if i % 5 else f"clean {i}") for i in range(200)] + [(None, passage)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    plans, write = [], decontaminate_module.materialise
+
+    def recorded(df, label, *by):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label, *by)
+
+    monkeypatch.setattr(decontaminate_module, "materialise", recorded)
+    clean = decontaminate_module.decontaminate(docs, bench, broadcast_rows=0)
+    plans.append(("clean", clean._jdf.queryExecution().executedPlan().toString()))
+    assert [label for label, plan in plans if "Broadcast" in plan] == []
+    assert sorted(r.doc_id for r in clean.collect()) == list(range(0, 200, 5))
+    assert sorted(r.doc_id for r in decontaminate_module.decontaminate(docs, bench).collect()) == list(range(0, 200, 5))
