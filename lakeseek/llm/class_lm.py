@@ -18,6 +18,10 @@ the core's bigrams (``core`` squared, 8 MB), the class bigrams and the ``head``
 each, broadcast for the last two passes), however large the corpus. The other words of a text travel to the table of all words and their counts and
 classes come back by row. Common words never do. Words are 64-bit hashes (exact ones of short words are mixed, see ``common.word_hashes``).
 
+A task works on about a megabyte of text at a time and adds up what it holds an eighth of the hashes after another, so a worker's memory follows neither
+the texts' lengths, beyond its longest one, nor Arrow's batches. While its passes run, the session hands out Arrow batches of BATCH rows at most: of 10,000 texts they take
+tens of MB several times over, in the JVM and in each worker.
+
 Of equally frequent words at the end of core or head those of the smallest hashes are in, about as many as there is room for.
 
 Defined cases: a null text counts as empty: one token, the end. Equal rows are scored alike, each a row of its own. A null id is never
@@ -26,14 +30,47 @@ held out. With nothing to learn from, all counts are 0. An empty table gives an
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeseek.llm.common import P, crc_mod, drop_table, lower_ascii, materialise, named, utf8, word_bounds, word_hashes
 
 END = 0  # the class and core number of a text's end
 BATCH = 1000  # texts
+BYTES = 1 << 20  # of text
+EIGHTHS = 8  # what tasks hold is added up by the first bits of the hash
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """The session's Arrow batches have at most BATCH rows meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(BATCH, int(before)) if int(before) > 0 else BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _cuts(column) -> list[tuple[int, int]]:
+    """(first, number) of the slices of an Arrow string column: at most BATCH texts, and about BYTES or one text."""
+    import pyarrow.compute as pc
+
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    at = np.arange(len(size))
+    new = np.diff((np.cumsum(size) - size) // BYTES, prepend=-1) > 0
+    first = np.flatnonzero(new | (at % BATCH == 0))
+    return list(zip(first.tolist(), np.diff(np.append(first, len(size))).tolist()))
+
+
+def _eighths(h: np.ndarray):
+    """Masks of the hashes of each eighth, of those that have some."""
+    part = (h >> np.uint64(61)).astype(np.int8)
+    return (part == p for p in np.flatnonzero(np.bincount(part, minlength=EIGHTHS)))
 
 
 def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -75,18 +112,20 @@ def count_words(train: DataFrame, flush: int = 1_500_000) -> DataFrame:
 
         def emit():
             h, n = (np.concatenate([x[i] for x in held]) for i in range(2))
-            u, at = np.unique(h, return_inverse=True)
-            return pa.record_batch({"h": u.view(np.int64), "n": np.bincount(at, n, len(u)).astype(np.int64)})
+            held.clear()
+            for own in _eighths(h):
+                u, at = np.unique(h[own], return_inverse=True)
+                yield pa.record_batch({"h": u.view(np.int64), "n": np.bincount(at, n[own], len(u)).astype(np.int64)})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                held.append(np.unique(_tokens(batch.column(P + "t").slice(at, BATCH))[0], return_counts=True))
+            for at, some in _cuts(batch.column(P + "t")):
+                held.append(np.unique(_tokens(batch.column(P + "t").slice(at, some))[0], return_counts=True))
                 size += len(held[-1][0])
                 if size > flush:
-                    yield emit()
-                    held, size = [], 0
+                    yield from emit()
+                    size = 0
         if held:
-            yield emit()
+            yield from emit()
 
     return train.select(P + "t").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -186,8 +225,8 @@ def core_bigrams(train: DataFrame, core: Words, size: int) -> np.ndarray:
 
         own = np.zeros(size * size, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                words, offs = _tokens(batch.column(P + "t").slice(at, BATCH))
+            for at, some in _cuts(batch.column(P + "t")):
+                words, offs = _tokens(batch.column(P + "t").slice(at, some))
                 line = _with_ends(core.value(words), offs)
                 before = np.concatenate([[END], line[:-1]])
                 both = (line >= 0) & (before >= 0)
@@ -215,25 +254,27 @@ def neighbours(train: DataFrame, classes_of: Words, classes: int, flush: int = 3
 
         def emit():
             h, cell = (np.concatenate([x[i] for x in cells]) for i in range(2))
-            u, at = np.unique(h, return_inverse=True)
-            key, n = np.unique(at * width + cell, return_counts=True)
-            return pa.record_batch({"h": u[key // width].view(np.int64), "cell": (key % width).astype(np.int16), "n": n})
+            cells.clear()
+            for own in _eighths(h):
+                u, at = np.unique(h[own], return_inverse=True)
+                key, n = np.unique(at * width + cell[own], return_counts=True)
+                yield pa.record_batch({"h": u[key // width].view(np.int64), "cell": (key % width).astype(np.int16), "n": n})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                words, offs = _tokens(batch.column(P + "t").slice(at, BATCH))
+            for at, some in _cuts(batch.column(P + "t")):
+                words, offs = _tokens(batch.column(P + "t").slice(at, some))
                 line = _with_ends(classes_of.value(words), offs)
                 hashes = np.insert(words, offs[1:], 0)
                 own = np.flatnonzero(line < 0)  # never the last token, which is an end
                 before, after = np.concatenate([[END], line[:-1]])[own], line[own + 1]
-                cells.append((hashes[own[before >= 0]], before[before >= 0]))
-                cells.append((hashes[own[after >= 0]], classes + after[after >= 0]))
+                cells.append((hashes[own[before >= 0]], before[before >= 0].astype(np.int16)))
+                cells.append((hashes[own[after >= 0]], (classes + after[after >= 0]).astype(np.int16)))
                 size += 2 * len(own)
                 if size > flush:
-                    yield emit()
-                    cells, size = [], 0
+                    yield from emit()
+                    size = 0
         if size:
-            yield emit()
+            yield from emit()
 
     return train.select(P + "t").mapInArrow(run, "h bigint, cell smallint, n bigint")
 
@@ -275,8 +316,8 @@ def class_bigrams(train: DataFrame, frequent: Words, lexicon: DataFrame, classes
 
         own = np.zeros(classes * classes, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                words, offs = _tokens(batch.column(P + "t").slice(at, BATCH))
+            for at, some in _cuts(batch.column(P + "t")):
+                words, offs = _tokens(batch.column(P + "t").slice(at, some))
                 line = _with_ends(frequent.value(words), offs)
                 hashes = np.insert(words, offs[1:], 0)
                 before = np.concatenate([[END], line[:-1]])
@@ -316,6 +357,11 @@ def class_lm(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, core: int = 1000, classes: int = 64, head: int = 200_000, k: float = 0.1, m: float = 5.0,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    with _small_batches(docs.sparkSession):
+        return _class_lm(docs, id_col, text_col, fold, core, classes, head, k, m)
+
+
+def _class_lm(docs: DataFrame, id_col: str, text_col: str, fold: int, core: int, classes: int, head: int, k: float, m: float) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     held_out = F.coalesce(crc_mod(id_col, fold) == 0, F.lit(False))
     rows = docs.select(named(id_col).alias(P + "id"), held_out.alias("held_out"), named(text_col).alias(P + "t"))
@@ -363,8 +409,8 @@ def class_lm(
 
         frequent, step_, unit_ = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
+            for at, some in _cuts(batch.column(P + "t")):
+                part = batch.slice(at, some)
                 words, offs = _tokens(part.column(P + "t"))
                 n = len(offs) - 1
                 place = frequent.find(words)

@@ -1,11 +1,12 @@
 """Cases where an operator once did less than the whole job."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
-from lakeseek.llm import merkle
+from lakeseek.llm import class_lm, merkle
 from lakeseek.llm import decontaminate as decontaminate_module
 from lakeseek.llm.decontaminate import contaminated
 from lakeseek.llm.html_extract import Page, extract, path_scores
@@ -183,3 +184,43 @@ def test_decontamination_broadcasts_only_what_it_counted(spark, monkeypatch):
     assert [label for label, plan in plans if "Broadcast" in plan] == []
     assert sorted(r.doc_id for r in clean.collect()) == list(range(0, 200, 5))
     assert sorted(r.doc_id for r in decontaminate_module.decontaminate(docs, bench).collect()) == list(range(0, 200, 5))
+
+
+class Task:
+    """Stands for a DataFrame whose mapInArrow gives the function that a task runs."""
+
+    select = lambda self, *_: self
+    mapInArrow = staticmethod(lambda run, _: run)  # noqa: N815
+
+
+def test_class_lm_neighbours_in_little_memory():
+    """A batch of long texts, 20 MB: the same counts as of all tokens, without all of them in memory many times over."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i}" for i in range(20_000)])
+    texts = [" ".join(vocabulary[(rng.random(4000) ** 2 * 20_000).astype(int)]) for _ in range(900)]
+    texts[7], texts[8] = None, ""
+    column = pa.array(texts, pa.string())
+    known = class_lm._tokens(pa.array(vocabulary[:100].tolist()))[0]
+    of = class_lm.Words(known, 1 + np.arange(100) % 7)
+    run = class_lm.neighbours(Task(), of, 8)
+    tracemalloc.start()
+    found = Counter()
+    peak = 0
+    for part in run([pa.record_batch({class_lm.P + "t": column})]):
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        for h, cell, n in zip(*(part.column(c).to_pylist() for c in ("h", "cell", "n"))):
+            found[h, cell] += n
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    number = {w: 1 + i % 7 for i, w in enumerate(vocabulary[:100])}
+    hashed = dict(zip(vocabulary.tolist(), class_lm._tokens(pa.array(vocabulary.tolist()))[0].view(np.int64).tolist()))
+    want = Counter()
+    for t in texts:
+        line = [None, *(t or "").split(), None]
+        for a, w, b in zip(line, line[1:], line[2:]):
+            if w not in number:
+                for c, shift in ((a, 0), (b, 8)):
+                    if c is None or c in number:
+                        want[hashed[w], shift + number.get(c, 0)] += 1
+    assert found == want
+    assert peak < 110e6
