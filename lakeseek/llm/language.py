@@ -49,13 +49,13 @@ def sample(docs: DataFrame, learnable: Column, id_col: str, text_col: str, lang_
     rows = docs.filter(learnable & lang.isNotNull() & text.isNotNull()).select(named(id_col).alias("i"), lang.alias("l"), F.xxhash64(text).alias("h"), text.alias("t"))
     keys = rows.select("i", "l", "h", F.shiftrightunsigned(F.xxhash64("i", "h"), 1).alias("at"))
     # of the many rows of a language only about twice as many as wanted, by their hash, need to meet in one task
-    amounts = keys.groupBy("l").agg(F.count("*").alias("n"))
+    amounts = keys.groupBy("l").agg(F.count("*").alias("n"))  # a row a language, each of which gets a model of 3 MB
     share = F.lit(2.0 * docs_per_language + 100) / F.col("n")
-    few = keys.join(amounts, "l").filter(F.col("at") <= F.when(share >= 1, F.lit(float(1 << 63))).otherwise(share * F.lit(float(1 << 63)))).drop("n").distinct()
+    few = keys.join(F.broadcast(amounts), "l").filter(F.col("at") <= F.when(share >= 1, F.lit(float(1 << 63))).otherwise(share * F.lit(float(1 << 63)))).drop("n").distinct()
     first = Window.partitionBy("l").orderBy("at", "i", "h")
     chosen = few.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= docs_per_language).select(F.col("i").alias("ci"), F.col("l").alias("cl"), F.col("h").alias("ch"))
     chosen = materialise(chosen, "language-sample")
-    small = F.broadcast(chosen) if chosen.count() <= 1_000_000 else chosen
+    small = F.broadcast(chosen) if chosen.count() <= 1_000_000 else chosen.hint("merge")
     taken = rows.join(small, F.col("i").eqNullSafe(F.col("ci")) & (F.col("l") == F.col("cl")) & (F.col("h") == F.col("ch")), "left_semi")
     return taken.groupBy("l", "i", "h").agg(F.first("t").alias("t")).select("l", "t")
 

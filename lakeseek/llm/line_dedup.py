@@ -47,7 +47,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     place = F.struct(P + "id", P + "t", "pos")
     first = hits.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    later = hits.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    later = hits.join(first.hint("merge"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + F.lit(width - 1)))))
     return later.groupBy(P + "id", P + "t").agg(covered.alias(P + "covered"))
 
@@ -57,7 +57,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = repeated_lines(docs, id_col, text_col, width).withColumnsRenamed({P + "id": P + "gid", P + "t": P + "gt"})
     text, covered = F.col(P + "text"), F.col(P + "covered")
     keyed = packed(docs, id=named(id_col), text=named(text_col), t=F.xxhash64(named(text_col)))
-    both = keyed.join(gone, F.col(P + "id").eqNullSafe(F.col(P + "gid")) & (F.col(P + "t") == F.col(P + "gt")), "left")
+    both = keyed.join(gone.hint("merge"), F.col(P + "id").eqNullSafe(F.col(P + "gid")) & (F.col(P + "t") == F.col(P + "gt")), "left")
 
     def cut(lines: Column) -> Column:
         at = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)

@@ -140,7 +140,7 @@ def mix_sources(
 
     def by_source(left: DataFrame, right: DataFrame, key: str = "s") -> DataFrame:
         right = right.withColumnRenamed("s", "of")
-        return left.join(F.broadcast(right) if few else right, left[key].eqNullSafe(right["of"])).drop("of")
+        return left.join(F.broadcast(right) if few else right.hint("merge"), left[key].eqNullSafe(right["of"])).drop("of")
 
     # the last pass: the range of the order that crosses the budget, in it the block, in that the documents
     blocks = by_source(counted, plan).withColumn("block", F.pmod("r", "blocks")).groupBy("s", "block", "whole", "rest").agg(F.sum("n").alias("n"))
@@ -159,7 +159,7 @@ def mix_sources(
 
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
         right = right.withColumnRenamed("s", "of")
-        return left.join(right, left["s"].eqNullSafe(right["of"]), "left").drop("of")
+        return left.join(right.hint("merge"), left["s"].eqNullSafe(right["of"]), "left").drop("of")
 
     plan = beside(beside(plan, cut.select("s", F.col("place").alias("cut_place"), F.col("block").alias("cut_block"))), last)
     plan = materialise(plan, "mix-decisions")

@@ -99,6 +99,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def links(prints: DataFrame, hot: int = 32, radius: int = 2, blocks: int = 4) -> DataFrame:
     """Edges (u, v) among the distinct fingerprints ``prints`` (fp bigint) whose components are those of all pairs within ``radius`` bits.
 
+    No join is left to the planner: it sees the size of a compressed file, not what the rows unfold to (35 keys, 2,081 near values).
     A node of a hot key's value may be no fingerprint of a row; it joins only fingerprints that are linked anyway.
     """
     if radius % 2:
@@ -108,10 +109,10 @@ def links(prints: DataFrame, hot: int = 32, radius: int = 2, blocks: int = 4) ->
     keys = [f"struct({i} AS c, xxhash64({', '.join(block[j] for j in own)}) AS k)" for i, own in enumerate(combinations(range(blocks), blocks - radius))]
     dealt = prints.select("fp", F.explode(F.expr(f"array({', '.join(keys)})")).alias("key")).select("fp", "key.c", "key.k")
     counted = dealt.groupBy("c", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialise(dealt.join(counted, ["c", "k"]), "blocks")
+    met = materialise(dealt.join(counted.hint("merge"), ["c", "k"]), "blocks")
     small = met.filter(F.col("n") <= hot)
     pairs = (
-        small.select("c", "k", F.col("fp").alias("u")).join(small.select("c", "k", F.col("fp").alias("v")), ["c", "k"])
+        small.select("c", "k", F.col("fp").alias("u")).join(small.select("c", "k", F.col("fp").alias("v")).hint("merge"), ["c", "k"])
         .filter((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).select("u", "v")
     )
     masks = [sum(1 << b for b in bits) for r in range(radius // 2 + 1) for bits in combinations(range(64), r)]
@@ -119,7 +120,7 @@ def links(prints: DataFrame, hot: int = 32, radius: int = 2, blocks: int = 4) ->
     near = F.transform(F.split(F.lit(signed), " "), lambda m: F.col("fp").bitwiseXOR(m.cast("long")))  # one literal, whatever the radius
     close = met.filter(F.col("n") > hot).select("fp").distinct().select("fp", F.explode(near).alias("mid"))
     least = close.groupBy("mid").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = close.join(least, "mid").select(F.col("fp").alias("u"), "v").filter("u <> v")
+    shared = close.join(least.hint("merge"), "mid").select(F.col("fp").alias("u"), "v").filter("u <> v")
     out = materialise(pairs.unionByName(shared).distinct(), "links")
     drop_table(met)
     return out
@@ -138,10 +139,10 @@ def simhash_components(
     groups = materialise(prints.groupBy(F.col(P + "fp").alias("fp")).agg(F.min(P + "id").alias("least"), F.min(own).alias("own")), "distinct-fingerprints")
     edges = links(groups.select("fp"), hot, radius, blocks)
     roots = components(edges)
-    rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = groups.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias(P + "component"), F.min("own").alias("first"))
-    known = rooted.join(least, "root").select(F.col("fp").alias(P + "fp"), P + "component", "first")
-    out = prints.join(known, P + "fp")
+    known = rooted.join(least.hint("merge"), "root").select(F.col("fp").alias(P + "fp"), P + "component", "first")
+    out = prints.join(known.hint("merge"), P + "fp")
     drop_table(edges)
     return out.select(*columns, P + "component", *([own.eqNullSafe(F.col("first")).alias(P + "first")] if by_text else []))
 
@@ -155,6 +156,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = simhash_components(docs, id_col, text_col, shingle, hot=hot, radius=radius, blocks=blocks, by_text=True)
     first = found.filter(P + "first").select(F.col(P + "id").alias("first_id"), F.col(P + "t").alias("first_text")).distinct()
     rows = packed(docs, id=named(id_col), t=F.xxhash64(named(text_col)))
-    kept = rows.join(first, F.col(P + "id").eqNullSafe(F.col("first_id")) & (F.col(P + "t") == F.col("first_text")), "left_semi")
+    kept = rows.join(first.hint("merge"), F.col(P + "id").eqNullSafe(F.col("first_id")) & (F.col(P + "t") == F.col("first_text")), "left_semi")
     one = kept.groupBy(P + "id", P + "t").agg(F.first(P + "row").alias(P + "row"))
     return one.select(*unpacked(one, docs.columns))
