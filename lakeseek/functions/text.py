@@ -71,14 +71,15 @@ def file_kind(path: Column) -> Column:
     return bound(F.split(F.lower(path), "/"), kind)
 
 
-def split_lines(text: Column) -> Column:
-    """Lines with their newlines; only \\n splits, and joining the lines gives the text."""
+def split_lines(text: Column, empty_line: bool = False) -> Column:
+    """Lines with their newlines; only \\n splits, and joining the lines gives the text. An empty text has no line, or with ``empty_line`` an empty one; null has none."""
 
     def lines(parts: Column) -> Column:
         ended = F.transform(parts, lambda x, i: F.when(i < F.size(parts) - 1, F.concat(x, F.lit("\n"))).otherwise(x))
-        return F.when(F.element_at(parts, -1) == "", F.slice(ended, F.lit(1), F.size(parts) - 1)).otherwise(ended)
+        closed = F.element_at(parts, -1) == ""
+        return F.when(closed & (F.size(parts) > 1) if empty_line else closed, F.slice(ended, F.lit(1), F.size(parts) - 1)).otherwise(ended)
 
-    return bound(F.split(F.coalesce(text, F.lit("")), "\n", -1), lines)
+    return bound(F.split(text if empty_line else F.coalesce(text, F.lit("")), "\n", -1), lines)
 
 
 def line_slice(lines: Column, first: Column, last: Column) -> Column:

@@ -24,9 +24,9 @@ def snippets(hits: DataFrame, indexed: DataFrame, current: DataFrame) -> DataFra
     return both.withColumn("snippet", F.struct(text.alias("text"), status.alias("status"))).drop("__text", "__hash", "__indexed")
 
 
-def lines_table(chunks: DataFrame, *keys: str) -> DataFrame:
-    """(*keys, i, line): a row for each line of ``text``, from 0."""
-    return chunks.select(*keys, F.posexplode(split_lines(F.col("text"))).alias("i", "line"))
+def lines_table(chunks: DataFrame, *keys: str, empty_line: bool = False) -> DataFrame:
+    """(*keys, i, line): a row for each line of ``text``, from 0; of an empty text none, or with ``empty_line`` an empty one."""
+    return chunks.select(*keys, F.posexplode(split_lines(F.col("text"), empty_line)).alias("i", "line"))
 
 
 def _asked_lines(chunks: DataFrame, query: str, *keys: str) -> DataFrame:
