@@ -11,7 +11,7 @@ import json
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -185,8 +185,8 @@ def read_files(spark: SparkSession, root: str, max_file_bytes: int = fixed.MAX_F
     return (reader.option("exclude", exclude) if exclude else reader).load(root)
 
 
-def with_reasons(files: DataFrame, max_file_bytes: int = fixed.MAX_FILE_BYTES, kinds: list[str] | None = None) -> DataFrame:
-    """``files`` with kind, decoded text and skip_reason (null for documents); the first reason that holds, in a fixed order."""
+def with_reasons(files: DataFrame, max_file_bytes: int = fixed.MAX_FILE_BYTES, kinds: list[str] | None = None, blank_too: Column | None = None) -> DataFrame:
+    """``files`` with kind, decoded text and skip_reason (null for documents); the first reason that holds, in a fixed order. Files of ``blank_too`` are not skipped for being empty."""
     head = F.substring("content", 1, fixed.SNIFF_BYTES)
     bom = F.substring("content", 1, 3) == F.lit(bytearray(b"\xef\xbb\xbf"))
     body = F.when(bom, F.expr("substring(content, 4)")).otherwise(F.col("content")).cast("string")
@@ -198,7 +198,7 @@ def with_reasons(files: DataFrame, max_file_bytes: int = fixed.MAX_FILE_BYTES, k
         reason = reason.when(~F.col("kind").isin(*kinds), F.concat(F.lit("kind:"), F.col("kind")))
     reason = (
         reason.when(F.col("link"), "symlink").when(F.col("size") > max_file_bytes, "too_large").when(F.col("content").isNull(), "unreadable")
-        .when(F.contains(head, F.lit(bytearray(b"\x00"))), "binary").when(~F.is_valid_utf8("raw"), "not_utf8").when(strip(F.col("raw")) == "", "empty")
+        .when(F.contains(head, F.lit(bytearray(b"\x00"))), "binary").when(~F.is_valid_utf8("raw"), "not_utf8").when((strip(F.col("raw")) == "") if blank_too is None else (strip(F.col("raw")) == "") & ~blank_too, "empty")
         .when(name.contains(".min."), "minified")
         .when((chars >= fixed.MINIFIED_CHARS) & (chars / (count_newlines(F.col("raw")) + 1) > fixed.MINIFIED_LINE_CHARS), "minified")
     )
