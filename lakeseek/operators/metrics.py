@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeseek.operators.ranking import ranked
@@ -23,8 +23,12 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 10, queries: DataFrame
         F.count_if(relevant).alias("found"),
         F.array_sort(F.collect_list(F.when(relevant, F.col("rank")))).alias("ranks"),
     )
-    ideal = ranked(labels.filter("gain > 0"), "gain")
-    ideal = ideal.groupBy("query_id").agg(F.sum(F.when(F.col("rank") <= k, F.col("gain") / F.log2(F.col("rank") + 1))).alias("idcg"), F.count("*").alias("relevant"))
+    # equal gains are counted, not ranked one by one: they take the ranks from the one after those above
+    counted = labels.filter("gain > 0").groupBy("query_id", "gain").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("gain"))))
+    ranks = F.when(F.col("upto") - F.col("n") < k, F.sequence(F.col("upto") - F.col("n") + 1, F.least(F.col("upto"), F.lit(k).cast("long"))))
+    gained = F.aggregate(F.transform(ranks, lambda r: F.col("gain") / F.log2(r + 1)), F.lit(0.0), lambda s, x: s + x)
+    ideal = counted.groupBy("query_id").agg(F.sum(gained).alias("idcg"), F.sum("n").alias("relevant"))
     all_ = queries.join(got, "query_id", "left").join(ideal, "query_id", "left")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     precision_sum = F.aggregate(F.transform("ranks", lambda r, i: (i + 1) / r), F.lit(0.0), lambda s, x: s + x)
